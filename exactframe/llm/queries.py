@@ -16,5 +16,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(F.col(f"q.{c}").alias(c) for c in names))
 
 
-QUERIES = {"op10_quality": op10_quality}
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import Rule, filter_urls
+
+    rules = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
+    judged = filter_urls(table(spark, sf_dir, "pages"), rules, out="f")
+    return judged.select("page_id", "f.host", "f.path", "f.rule", "f.verdict")
+
+
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources, taken_words
+
+    got = taken_words(mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return got.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chat, read_loss, read_turns
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said)).toDF(*rows.columns)
+    done = format_chat(rows.unionByName(extra))
+    joined = lambda turns: F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    back = done.select("conv_id", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("segments")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined(F.col("turns")), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+QUERIES = {"op3_urls": op3_urls, "op6_mix": op6_mix, "op8_chat": op8_chat, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}

@@ -16,6 +16,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(F.col(f"q.{c}").alias(c) for c in names))
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import Rule, filter_urls
 
@@ -46,5 +52,5 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_urls": op3_urls, "op6_mix": op6_mix, "op8_chat": op8_chat, "op10_quality": op10_quality}
+QUERIES = {"op1_minhash": op1_minhash, "op3_urls": op3_urls, "op6_mix": op6_mix, "op8_chat": op8_chat, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}

@@ -30,6 +30,12 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "f.host", "f.path", "f.rule", "f.verdict")
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources, taken_words
 
@@ -52,5 +58,5 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_urls": op3_urls, "op6_mix": op6_mix, "op8_chat": op8_chat, "op10_quality": op10_quality}
+QUERIES = {"op1_minhash": op1_minhash, "op3_urls": op3_urls, "op5_vectors": op5_vectors, "op6_mix": op6_mix, "op8_chat": op8_chat, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}

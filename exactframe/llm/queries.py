@@ -43,6 +43,15 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chat, read_loss, read_turns
 
@@ -58,5 +67,5 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_urls": op3_urls, "op5_vectors": op5_vectors, "op6_mix": op6_mix, "op8_chat": op8_chat, "op10_quality": op10_quality}
+QUERIES = {"op1_minhash": op1_minhash, "op3_urls": op3_urls, "op5_vectors": op5_vectors, "op6_mix": op6_mix, "op7_pack": op7_pack, "op8_chat": op8_chat, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}

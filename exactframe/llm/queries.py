@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .scoring import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -67,5 +75,5 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_urls": op3_urls, "op5_vectors": op5_vectors, "op6_mix": op6_mix, "op7_pack": op7_pack, "op8_chat": op8_chat, "op10_quality": op10_quality}
+QUERIES = {"op1_minhash": op1_minhash, "op3_urls": op3_urls, "op5_vectors": op5_vectors, "op6_mix": op6_mix, "op7_pack": op7_pack, "op8_chat": op8_chat, "op9_lm": op9_lm, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}

@@ -38,6 +38,13 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "f.host", "f.path", "f.rule", "f.verdict")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    done = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), host="source", out="l")
+    return done.select("doc_id", F.col("lang").alias("declared"), "source", F.col("l.lang").alias("lang"), F.col("l.confidence").alias("confidence"), F.col("l.kept").alias("kept"))
+
+
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vectors import near_vectors
 
@@ -75,5 +82,5 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_urls": op3_urls, "op5_vectors": op5_vectors, "op6_mix": op6_mix, "op7_pack": op7_pack, "op8_chat": op8_chat, "op9_lm": op9_lm, "op10_quality": op10_quality}
+QUERIES = {"op1_minhash": op1_minhash, "op3_urls": op3_urls, "op4_langid": op4_langid, "op5_vectors": op5_vectors, "op6_mix": op6_mix, "op7_pack": op7_pack, "op8_chat": op8_chat, "op9_lm": op9_lm, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}

@@ -3,12 +3,13 @@
 A document's set is its distinct word shingles. Each shingle's hash picks one of ``registers`` buckets; a bucket keeps
 the least remaining hash as its count of leading zeros and ten mantissa bits. Bands of registers that agree give
 candidates; the share of agreeing registers, corrected for accidental collisions, gives an estimate of the
-similarity that drops the hopeless ones; the rest is decided on the full sets.
+similarity that drops the hopeless ones; the rest is decided on the full sets. A bucket that no shingle of a short
+text falls into borrows the register of another, found in an order that is its own (optimal densification).
 
 Equal sets are one class from the start and are never compared. In a bucket of equal bands, everyone is first
 compared with the least member only. Links found so make components; only where a bucket still holds documents of
-different components are the pairs across components compared, so the edges that matter are complete and groups
-of copies cost one comparison a member.
+different components are documents compared again: all that share a least member, in blocks, on their full sets,
+and only across components. So the edges that matter are complete, and groups of copies cost one comparison a member.
 
 Sizes: a shuffle of the texts of candidate documents, and of 16 bytes for each band and class. Nothing is collected.
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import paired_blocks, runs
 from .common import stored
 from .graph import components
 from .shingles import grouped, mix, shingle_sets
@@ -33,11 +35,15 @@ from .shingles import grouped, mix, shingle_sets
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
+#: Shares a task's block of documents when what is left is compared.
+BLOCK = 512
 _U = np.uint64
+#: For each register the order in which it looks for one to borrow from.
+_BORROW = np.stack([np.random.default_rng([7, k]).permutation(REGISTERS) for k in range(REGISTERS)])
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers: 0 if empty, else (leading zeros + 1) and the mantissa bits of the least hash."""
+    """HyperMinHash registers: (leading zeros + 1) and the mantissa bits of the least hash; all 0 for no shingles."""
     out = np.zeros(REGISTERS, np.uint16)
     if len(shingles):
         bucket = ((mix(shingles ^ _U(0xA5A5A5A5A5A5A5A5)) >> _U(32)) * _U(REGISTERS)) >> _U(32)
@@ -51,6 +57,9 @@ def registers(shingles: np.ndarray) -> np.ndarray:
         zeros = 52 - bits
         tail = (least << (zeros + 1).astype(np.uint64)) & _U((1 << 52) - 1)  # what follows the leading one
         out[of[first].astype(np.int64)] = ((zeros + 1).astype(np.uint64) << _U(MANTISSA)) | (tail >> _U(52 - MANTISSA))
+        if len(first) < REGISTERS:
+            lent = _BORROW[np.arange(REGISTERS), np.argmax(out[_BORROW] > 0, axis=1)]
+            out = np.where(out > 0, out, out[lent])
     return out
 
 
@@ -60,11 +69,9 @@ def expected_collisions(n: float | np.ndarray, m: float | np.ndarray) -> float |
     return 0.1699 * REGISTERS / 2**MANTISSA * 4 * ratio / (1 + ratio) ** 2
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(estimated similarity, registers in use) for rows of registers a, b of sets of n and m elements."""
-    used = ((a > 0) | (b > 0)).sum(1)
-    same = ((a == b) & (a > 0)).sum(1)
-    return np.maximum(same - expected_collisions(n, m), 0) / np.maximum(used, 1), used
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Similarity estimated from rows of registers a, b of sets of n and m elements."""
+    return np.maximum((a == b).sum(1) - expected_collisions(n, m), 0) / REGISTERS
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,18 +114,54 @@ def _likely(percent: int, deviations: float):
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(-1, REGISTERS) for c in (4, 5))
-            got, used = estimate(a, b, *(batch.column(c).to_numpy() for c in (2, 3)))
-            margin = deviations * np.sqrt(t * (1 - t) / np.maximum(used, 1))
-            yield batch.select([0, 1]).filter(pa.array((used < 48) | (got + margin >= t)))
+            n, m = (batch.column(c).to_numpy() for c in (2, 3))
+            own = REGISTERS * (1 - (1 - 1 / REGISTERS) ** np.maximum(n, m))  # registers that need not borrow, about
+            margin = deviations * np.sqrt(t * (1 - t) / np.maximum(own, 1))
+            yield batch.select([0, 1]).filter(pa.array((own < 48) | (estimate(a, b, n, m) + margin >= t)))
 
     return keep
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(key, id): a hash for each band of registers in which one is in use."""
+    """(key, id): a hash for each band of registers."""
     part = F.substring(F.col("registers"), F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))
-    each = reps.select("id", "registers", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("id", "band", part.alias("part"))
-    return each.filter(F.col("part") != F.lit(bytes(2 * ROWS))).select(F.xxhash64("band", "part").alias("key"), "id")
+    each = reps.select("id", "registers", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    return each.select(F.xxhash64("band", part).alias("key"), "id")
+
+
+def _across(percent: int):
+    """Of the tasks (hub, i, j) with rows (part, block, id, shingles): links between documents of different parts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, ("hub", "i", "j")):
+            i, j = run.column("i")[0].as_py(), run.column("j")[0].as_py()
+            ids, part, block = (run.column(c).to_numpy() for c in ("id", "part", "block"))
+            sets = run.column("shingles").combine_chunks()
+            sizes = np.diff(sets.offsets.to_numpy())
+            flat, starts = sets.flatten().to_numpy(), np.cumsum(sizes) - sizes
+            right = np.flatnonzero(block == j)
+            # of each shingle on the right, in order, the documents that have it
+            tokens = np.concatenate([flat[starts[k] : starts[k] + sizes[k]] for k in right]) if len(right) else flat[:0]
+            owner = np.repeat(np.arange(len(right)), sizes[right])
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            a, b = [], []
+            for k in np.flatnonzero(block == i).tolist():
+                near = (part[right] != part[k]) & (np.minimum(sizes[right], sizes[k]) * 100 >= np.maximum(sizes[right], sizes[k]) * percent)
+                if not near.any():
+                    continue
+                own = flat[starts[k] : starts[k] + sizes[k]]
+                lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(right))
+                for r in np.flatnonzero(near & (common * 100 >= (sizes[right] + sizes[k] - common) * percent)).tolist():
+                    a.append(min(ids[k], ids[right[r]]))
+                    b.append(max(ids[k], ids[right[r]]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return scan
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text", deviations: float = 5.0) -> DataFrame:
@@ -133,20 +176,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     several = stored(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("of")).filter("of > 1").select("key", "hub"), "buckets")
     members = stored(bands.join(several, "key").select("key", "hub", "id"), "members")
 
-    likely = lambda pairs: _estimated(pairs, reps, percent, deviations)
-    stars = stored(likely(members.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()), "pairs")
+    stars = members.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stored(_estimated(stars, reps, percent, deviations), "pairs")
     links = stored(_confirmed(stars, given, percent), "links")
     group = components(links)
 
-    # what the stars left open: documents of one bucket in different components
+    # what the stars left open: documents of one bucket, its least member aside, in different components
     part = F.coalesce("component", "id")
-    told = members.select("key", "id").join(group, "id", "left").select("key", "id", part.alias("part"))
+    told = members.filter("id != hub").join(group, "id", "left").select("key", "hub", "id", part.alias("part"))
     open_ = told.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
-    told = stored(told.join(open_, "key"), "open")
-    x, y = (told.select("key", F.col("id").alias(i), F.col("part").alias(p)) for i, p in (("a", "pa"), ("b", "pb")))
-    across = x.join(y, "key").filter("pa < pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stored(_confirmed(stored(likely(across), "pairs"), given, percent), "links")
+    left = stored(told.join(open_, "key").select("hub", "id", "part").distinct(), "open")
+    tasks = paired_blocks(left, "hub", BLOCK).join(_sets_of(left.select("id").distinct(), given), "id")
+    tasks = tasks.select("hub", "i", "j", "block", "part", "id", "shingles").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    more = stored(tasks.mapInArrow(_across(percent), "a long, b long").distinct(), "links")
     merged = components(links.unionByName(more))
 
     # equal sets and equal ids join in by their class
@@ -163,11 +205,15 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, deviations: floa
     return both.filter(near).select("a", "b", "n", "m", "ra", "rb").mapInArrow(_likely(percent, deviations), "a long, b long")
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents with these ids."""
+    texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stored(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
     side = lambda i, s: sets.select(F.col("id").alias(i), F.col("shingles").alias(s))
     both = pairs.join(side("b", "sb"), "b").join(side("a", "sa"), "a")
     common: Column = F.size(F.array_intersect("sa", "sb"))

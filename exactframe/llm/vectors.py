@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import paired_blocks, runs
 from .common import stored
 from .graph import components
 
@@ -106,33 +107,13 @@ def _encode(signs: int, bands: int):
     return encode
 
 
-def _runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
-    """The rows of each value of ``by``; the batches are sorted by it."""
-    held: list[pa.RecordBatch] = []
-    value = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(c).to_numpy() for c in by]
-        cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols], axis=0)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-            now = tuple(c[lo] for c in cols)
-            if held and now != value:
-                yield pa.Table.from_batches(held)
-                held = []
-            value = now
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _candidates(cosine: float, deviations: float):
     by = ("key", "i", "j")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
         size = 0
-        for run in _runs(batches, by):
+        for run in runs(batches, by):
             if run.num_rows < 2:
                 continue
             ids, factor, step, block = (run.column(c).to_numpy() for c in ("id", "factor", "step", "block"))
@@ -180,10 +161,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id"
     coded = stored(classes.select("id", "v").mapInArrow(_encode(signs, bands), kept), "codes")
     payload = ("id", "code", "factor", "whole", "step")
     each = coded.select("dim", *payload, F.posexplode("keys").alias("band", "bits")).select(F.xxhash64("dim", "band", "bits").alias("key"), *payload)
-    shared = each.groupBy("key").agg(F.count("*").alias("of")).filter("of > 1")
-    each = each.join(shared, "key").withColumn("blocks", F.ceil(F.col("of") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = each.select("key", "block", *payload, other.alias("o")).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", *payload)
+    tasks = paired_blocks(each, "key", BLOCK)
     pairs = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_candidates(cosine, deviations), "a long, b long").distinct()
     side = lambda i, v: classes.select(F.col("id").alias(i), F.col("v").alias(v))
     both = pairs.join(side("b", "vb"), "b").join(side("a", "va"), "a").filter(F.size("va") == F.size("vb")).select("a", "b", "va", "vb")

@@ -78,42 +78,41 @@ class Packer:
                 for at in range(0, int(tokens[k]) - whole + 1, whole):
                     yield [Piece(first + k, at, whole)]
                     start[k] = at + whole
-        size = np.stack([tokens - start, np.ones(len(tokens), np.int64), np.minimum(loss, tokens - start)], 1)
-        if (size > self.room).any():
+        if len(tokens) and (tokens - start > self.room[0]).any() or (np.minimum(loss, tokens - start) > self.room[2]).any():
             raise ValueError("an example is larger than a sequence and may not be cut")
-        alive = size[:, 0] > 0
-        # sorted by tokens, so that the fitting ones are a prefix
-        order = np.flatnonzero(alive)
-        order = order[np.argsort(size[order, 0], kind="stable")]
-        size = size[order].astype(np.int64)
+        # the waiting items, sorted by tokens, so that those that fit are at the front
+        item = np.flatnonzero(tokens - start > 0)
+        item = item[np.argsort((tokens - start)[item], kind="stable")]
+        size = (tokens - start)[item]
+        bears = np.minimum(loss[item], size)
+        m = len(item)
         weight = 1.0 / self.room.astype(float) ** 2
-        gone = np.zeros(len(order), bool)
-        rest = len(order)
-        while rest:
-            n = int(np.searchsorted(size[:, 0], self.left[0], "right"))
-            fit = ~gone[:n] & (size[:n, 1:] <= self.left[1:]).all(1)
-            if fit.any():
-                score = np.where(fit, size[:n] @ (self.left * weight), -1.0)
+        while m:
+            n = int(np.searchsorted(size[:m], self.left[0], "right")) if self.left[1] else 0
+            best = -1
+            if n:
+                score = size[:n] * (self.left[0] * weight[0]) + bears[:n] * (self.left[2] * weight[2])  # the segment is the same for all
+                score[bears[:n] > self.left[2]] = -1.0
                 best = n - 1 - int(np.argmax(score[::-1]))
-                k = int(order[best])
-                self._put(first + k, int(start[k]), int(size[best, 0]), int(size[best, 2]))
-                gone[best] = True
-                rest -= 1
-                if rest < len(order) // 2:
-                    order, size, gone = order[~gone], size[~gone], gone[~gone]
+                best = best if score[best] >= 0 else -1
+            if best >= 0:
+                k = int(item[best])
+                self._put(first + k, int(start[k]), int(size[best]), int(bears[best]))
+                for a in (item, size, bears):
+                    a[best : m - 1] = a[best + 1 : m]
+                m -= 1
                 continue
-            if self.cut and self.left[0] >= self.limits.least_cut and self.left[1] > 0:
-                best = int(np.flatnonzero(~gone)[-1])
-                k = int(order[best])
-                part = int(min(self.left[0], self.left[2] + max(0, size[best, 0] - size[best, 2]), size[best, 0] - 1))
+            if self.cut and self.left[0] >= self.limits.least_cut and self.left[1]:
+                best = m - 1
+                k, whole, last = int(item[best]), int(size[best]), int(bears[best])
+                part = int(min(self.left[0], self.left[2] + whole - last, whole - 1))
                 if part > 0:
-                    bearing = self._loss(int(size[best, 0]), int(size[best, 2]), 0, part)
+                    bearing = self._loss(whole, last, 0, part)
                     self._put(first + k, int(start[k]), part, bearing)
                     start[k] += part
-                    now = size[best] - (part, 0, bearing)
-                    place = int(np.searchsorted(size[:, 0], now[0]))  # place <= best: it moves towards the start
-                    for a, v in ((order, k), (gone, False), (size, now)):
-                        a[place + 1 : best + 1] = a[place:best].copy()
+                    place = int(np.searchsorted(size[:m], whole - part))  # it moves towards the front
+                    for a, v in ((item, k), (size, whole - part), (bears, last - bearing)):
+                        a[place + 1 : m] = a[place : m - 1].copy()
                         a[place] = v
             yield self._close()
 

@@ -7,26 +7,39 @@ go to the tokenizer, many at a time. Words with anything unusual go there whole.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
 #: Entries in each cache; a full cache is emptied.
-LIMIT = 700_000
+LIMIT = 1_000_000
 _LETTER = "a-zß-öø-įı-ſ"
 #: What the tokenizer's own pattern does on ordinary Latin text, in lower case.
-_RUN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
-_ODD = re.compile("[^\x21-\x7eÀ-ÖØ-öø-įı-ſ]|<\\|")
+_RUN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|\\n|[^{_LETTER}0-9\\n]+")
+_ODD = re.compile("[^\n\x21-\x7eÀ-ÖØ-öø-įı-ſ]|<\\|")
+#: Between words; no two ids in a row look like it, as they are below 2 ** 16.
+_CUT = b"\xff\xff\xff\xff"
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 class WordTokenizer:
     """``ids(texts)``: for each text its ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        # the same merges alone, for runs whose bytes are written as the vocabulary writes them
+        bare = json.loads(Path(path).read_text()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(bare))
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.written = dict(zip(plain, map(chr, plain), strict=True))
+        self.written |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self.written)} | {10: " "}
         self.words: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
         vocab = self.whole.get_vocab()
@@ -34,10 +47,11 @@ class WordTokenizer:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
+        # lower case comes first anyway; control strings are told by case
+        cut = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts]
         if len(self.words) > LIMIT:
             self.words.clear()
-        new = {w for ws in cut for w in ws}.difference(self.words)
+        new = set().union(*cut).difference(self.words)
         if new:
             self._learn(list(new))
         get = self.words.__getitem__
@@ -46,31 +60,33 @@ class WordTokenizer:
     def _learn(self, new: list[bytes]) -> None:
         if len(self.runs) > LIMIT:
             self.runs.clear()
-        cut, odd = [], []
-        for w in new:
-            s = w.decode("utf-8", "replace")
-            if _ODD.search(s):
-                odd.append((w, s))
-            else:
-                cut.append((w, _RUN.findall(s.lower())))
-        runs = list({r for _, rs in cut for r in rs}.difference(self.runs))
-        for k in range(0, len(runs), 2000):
-            self._learn_runs(runs[k : k + 2000])
-        get = self.runs.__getitem__
-        for w, rs in cut:
-            self.words[w] = get(rs[0]) if len(rs) == 1 else b"".join(map(get, rs))
-        for (w, _), e in zip(odd, self.whole.encode_batch([s for _, s in odd], add_special_tokens=False) if odd else [], strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+        text = b"\n".join(new).decode("utf-8", "replace")
+        if _ODD.search(text):
+            odd = [w for w in new if _ODD.search(w.decode("utf-8", "replace"))]
+            for w, e in zip(odd, self.whole.encode_batch([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False), strict=True):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
+            new = list(set(new).difference(odd))
+            text = b"\n".join(new).decode()
+        if new:
+            cut = _RUN.findall(text.lower())
+            self._learn_runs(list(set(cut).difference(self.runs, "\n")))
+            self.runs["\n"] = _CUT
+            self.words.update(zip(new, b"".join(map(self.runs.__getitem__, cut)).split(_CUT), strict=True))
 
     def _learn_runs(self, runs: list[str]) -> None:
-        ids = np.array(self.whole.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(runs):
-            for r, lo, hi in zip(runs, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                self.runs[r] = ids[lo:hi].tobytes()
-        else:  # a run that is cut otherwise than expected: each by itself
-            for r, e in zip(runs, self.whole.encode_batch(runs, add_special_tokens=False), strict=True):
-                self.runs[r] = np.array(e.ids, "<u4").tobytes()
+        for k in range(0, len(runs), 2000):
+            part = runs[k : k + 2000]
+            text = "\n".join(part).encode().decode("latin-1").translate(self.written)
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) == len(part):
+                raw, lo = ids.tobytes(), 0
+                for r, hi in zip(part, stops.tolist(), strict=True):
+                    self.runs[r] = raw[lo:hi]
+                    lo = hi
+            else:  # a run that is cut otherwise than expected: each by itself
+                for r, e in zip(part, self.whole.encode_batch(part, add_special_tokens=False), strict=True):
+                    self.runs[r] = np.array(e.ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=4)

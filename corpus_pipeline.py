@@ -1,11 +1,16 @@
-"""From raw documents to packed sequences: each stage works on what its predecessor kept."""
+"""From raw documents to packed sequences: each stage works on all that its predecessor kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exactframe.llm import common
+from exactframe.llm.langid import identify
+from exactframe.llm.minhash import near_duplicates
+from exactframe.llm.mixing import mix_sources, mixed_texts
+from exactframe.llm.packing import pack_documents
 from exactframe.llm.quality import judge
 
 DOC = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,15 +22,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return q.withColumn("text", F.col("_q.clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*DOC)
 
 
-STAGES = [("quality rules", quality_rules)]
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language that is known go; the others carry the language found."""
+    done = identify(docs, host="source", out="_l").filter("_l.kept")
+    return done.withColumn("lang", F.col("_l.lang")).select(*DOC)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the least id."""
+    kept = near_duplicates(docs, percent=80).filter("kept").select("doc_id").distinct()
+    told = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOC)
+    return told.unionByName(docs.filter("doc_id is null").select(*DOC))  # without an id there is no group
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each pass over a source that takes words of a document."""
+    mixed = mixed_texts(mix_sources(docs), docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*DOC)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: a row for each piece of a document."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("MinHash near-dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+#: SQL has no tokenizer, no trigram model and no components; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result but the last is written to the shared folder and read again."""
     docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stored(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

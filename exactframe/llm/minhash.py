@@ -173,12 +173,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     reps = real.withColumnRenamed("doc_id", "id").join(classes, ["same", "n", "id"]).select("id", "n", "registers").dropDuplicates(["id", "n", "registers"])
     reps = stored(reps, "representatives")
     bands = _bands(reps)
-    several = stored(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("of")).filter("of > 1").select("key", "hub"), "buckets")
-    members = stored(bands.join(several, "key").select("key", "hub", "id"), "members")
+    several = stored(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("of")).filter("of > 1").select("key", "hub", "of"), "buckets")
+    members = stored(bands.join(several, "key").select("key", "hub", "of", "id"), "members")
 
     stars = members.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     stars = stored(_estimated(stars, reps, percent, deviations), "pairs")
-    links = stored(_confirmed(stars, given, percent), "links")
+    # the texts are gone through once more, for all documents that can be compared here or below
+    ids = stars.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.filter("of > 2 and id != hub").select("id")).distinct()
+    sets = _sets_of(ids, given)
+    links = stored(_confirmed(stars, sets, percent), "links")
     group = components(links)
 
     # what the stars left open: documents of one bucket, its least member aside, in different components
@@ -186,7 +189,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     told = members.filter("id != hub").join(group, "id", "left").select("key", "hub", "id", part.alias("part"))
     open_ = told.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
     left = stored(told.join(open_, "key").select("hub", "id", "part").distinct(), "open")
-    tasks = paired_blocks(left, "hub", BLOCK).join(_sets_of(left.select("id").distinct(), given), "id")
+    tasks = paired_blocks(left, "hub", BLOCK).join(sets, "id")
     tasks = tasks.select("hub", "i", "j", "block", "part", "id", "shingles").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     more = stored(tasks.mapInArrow(_across(percent), "a long, b long").distinct(), "links")
     merged = components(links.unionByName(more))
@@ -211,9 +214,8 @@ def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
     side = lambda i, s: sets.select(F.col("id").alias(i), F.col("shingles").alias(s))
     both = pairs.join(side("b", "sb"), "b").join(side("a", "sa"), "a")
     common: Column = F.size(F.array_intersect("sa", "sb"))

@@ -38,6 +38,21 @@ def _either(a: Column | None, b: Column | None) -> Column | None:
     return b if a is None else a if b is None else a | b
 
 
+def literal(value: Any, ty: Type) -> Column:
+    """A checked value as a column of the type's Spark type."""
+    if value is None or not ty.parts:
+        return F.lit(value).cast(ty.spark())
+    if ty.kind == "map":
+        items = [literal(x, p) for pair in value.items() for x, p in zip(pair, ty.parts, strict=True)]
+        out = F.create_map(*items)
+    elif ty.kind == "list":
+        out = F.array(*(literal(x, ty.parts[0]) for x in value))
+    else:
+        names = ty.names or tuple(f"_{k + 1}" for k in range(len(ty.parts)))
+        return F.struct(*(literal(x, p).alias(n) for x, p, n in zip(value, ty.parts, names, strict=True)))
+    return out if value else out.cast(ty.spark())
+
+
 def _maps(ty: Type, c: Column) -> Column:
     """Maps have no order of entries and no equality in Spark."""
     return F.array_sort(F.map_entries(c)) if ty.kind == "map" else c
@@ -47,13 +62,13 @@ def lower(e: Expr, ctx: Context) -> Lowered:
     if e.op == "field":
         return ctx.field(*e.data)
     if e.op == "literal":
-        return Lowered(F.lit(e.data[0]).cast(e.type.spark()))
+        return Lowered(literal(e.data[0], e.type))
     if e.op == "param":
         name = e.data[0]
         if name not in ctx.parameters:
             raise ExactError("EXPR-EVAL-103", f"parameter {name} is not bound")
         try:
-            return Lowered(F.lit(check(ctx.parameters[name], e.type)).cast(e.type.spark()))
+            return Lowered(literal(check(ctx.parameters[name], e.type), e.type))
         except ExactError as x:
             raise ExactError("EXPR-EVAL-111", f"parameter {name} was bound with a different semantic type") from x
     if e.op == "exists":

@@ -54,6 +54,14 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has, for columns of an operator's own."""
+    prefix = "x_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"x{prefix}"
+    return prefix
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside lambda functions."""
     return F.transform(F.array(value), body)[0]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import stored
+from .common import stored, unused
 from .urls import host_of
 
 #: A subtree is template if it occurs in so many bodies of its host at least, and in this share of them.
@@ -219,17 +219,18 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the column ``out``: the main text."""
+    x = unused(pages)
     given = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     counts = given.mapInArrow(_subtrees, "host string, tree long, body long").distinct().groupBy("host", "tree").agg(F.count("*").alias("n"))
     counts = stored(counts, "subtrees")
     bodies = counts.filter("tree = 0").select("host", F.col("n").alias("bodies"))
     often = counts.filter(f"tree != 0 and n >= {LEAST_BODIES}").join(bodies, "host").filter(F.col("n") >= F.col("bodies") * SHARE)
     # at most (elements of a page) / SHARE hashes for a host, as each is on that share of its bodies
-    template = stored(often.groupBy("host").agg(F.collect_list("tree").alias("_template")).withColumnRenamed("host", "_host"), "template")
+    template = stored(often.groupBy("host").agg(F.collect_list("tree").alias(x + "template")).withColumnRenamed("host", x + "host"), "template")
 
     @pandas_udf("string")
     def extract(texts: pd.Series, templates: pd.Series) -> pd.Series:
         return pd.Series(["\n\n".join(blocks(parse(t or ""), frozenset(() if h is None else h))[0]) for t, h in zip(texts, templates, strict=True)])
 
-    joined = pages.join(template, host_of(F.col(url)) == F.col("_host"), "left")
-    return joined.withColumn(out, extract(F.col(html), F.col("_template"))).select(*(pages[c] for c in pages.columns if c != out), F.col(out))
+    joined = pages.join(template, host_of(F.col(url)) == F.col(x + "host"), "left")
+    return joined.withColumn(out, extract(F.col(html), F.col(x + "template"))).select(*(pages[c] for c in pages.columns if c != out), F.col(out))

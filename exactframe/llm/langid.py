@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import stored
+from .common import stored, unused
 
 #: Rows of each label, at most, that the trigram model is fitted on; labels, at most (those with most rows).
 SAMPLE, LABELS = 2000, 64
@@ -126,16 +126,17 @@ def identify(
     """
     names, log = model or fit(docs, label, text, key)
     n = len(names) + 1
+    x = unused(docs)
     nil = F.lit(None).cast("string")
     address = F.lower(F.coalesce(F.col(host) if host else nil, F.lit("")))
-    read = docs.withColumn("_ll", text_evidence(log)(F.col(text)))
-    read = read.withColumn("_p", _softmax(F.col("_ll")))
-    read = read.withColumn("_d", _short(F.col(declared) if declared else nil)).withColumn("_h", address)
-    read = read.withColumn("_t", _short(F.regexp_extract("_h", r"\.([^.:]+)(?::\d*)?$", 1))).withColumn("_g", F.regexp_extract("_h", r"([^.]*\.?[^.]*)$", 1))
+    read = docs.withColumn(x + "_ll", text_evidence(log)(F.col(text)))
+    read = read.withColumn(x + "_p", _softmax(F.col(x + "_ll")))
+    read = read.withColumn(x + "_d", _short(F.col(declared) if declared else nil)).withColumn(x + "_h", address)
+    read = read.withColumn(x + "_t", _short(F.regexp_extract(x + "_h", r"\.([^.:]+)(?::\d*)?$", 1))).withColumn(x + "_g", F.regexp_extract(x + "_h", r"([^.]*\.?[^.]*)$", 1))
 
     # sums of the text's posteriors by declared language, suffix, host: one pass over the texts
-    sums = [F.coalesce(F.sum(F.get("_p", F.lit(k))), F.lit(0.0)).alias(f"p{k}") for k in range(n)]
-    counts = stored(read.filter(F.size("_p") > 0).groupBy("_d", "_t", "_g", "_h").agg(*sums), "evidence")
+    sums = [F.coalesce(F.sum(F.get(x + "_p", F.lit(k))), F.lit(0.0)).alias(f"p{k}") for k in range(n)]
+    counts = stored(read.filter(F.size(x + "_p") > 0).groupBy(x + "_d", x + "_t", x + "_g", x + "_h").agg(*sums), "evidence")
     total = lambda *by: counts.groupBy(*by).agg(F.array(*(F.sum(f"p{k}") for k in range(n))).alias("s"))
     whole = total().first()[0]
     whole = np.array([x or 0.0 for x in whole])
@@ -144,24 +145,24 @@ def identify(
 
     def likelihood(by: str) -> DataFrame:  # of a value in each language; at most 18,279 values
         smooth = F.zip_with("s", per, lambda s, w: F.log((s + 0.5) / (w + 1.0)))
-        return F.broadcast(total(by).select(by, smooth.alias(f"l{by}")))
+        return F.broadcast(total(by).select(by, smooth.alias(x + "l" + by.removeprefix(x))))
 
     size = lambda s: F.aggregate(s, F.lit(0.0), lambda a, b: a + b)
     smoothed = lambda s, up: F.zip_with(s, up, lambda x, u: (x + STRENGTH * u) / (size(s) + STRENGTH))
-    domains = total("_g").select("_g", smoothed(F.col("s"), share).alias("up"))
-    hosts = total("_h", "_g").join(domains, "_g").select("_h", F.col("s").alias("_s"), F.col("up").alias("_up"))
+    domains = total(x + "_g").select(x + "_g", smoothed(F.col("s"), share).alias("up"))
+    hosts = total(x + "_h", x + "_g").join(domains, x + "_g").select(x + "_h", F.col("s").alias(x + "_s"), F.col("up").alias(x + "_up"))
 
-    joined = read.join(likelihood("_d"), "_d", "left").join(likelihood("_t"), "_t", "left").join(hosts, "_h", "left")
-    own = F.zip_with("_s", F.col("_p"), lambda s, p: F.greatest(s - p, F.lit(0.0)))
-    prior = F.coalesce(smoothed(own, F.col("_up")), share)
+    joined = read.join(likelihood(x + "_d"), x + "_d", "left").join(likelihood(x + "_t"), x + "_t", "left").join(hosts, x + "_h", "left")
+    own = F.zip_with(x + "_s", F.col(x + "_p"), lambda s, p: F.greatest(s - p, F.lit(0.0)))
+    prior = F.coalesce(smoothed(own, F.col(x + "_up")), share)
     zero = F.array_repeat(F.lit(0.0), n)
     logs = F.transform(prior, lambda p: F.log(p))
-    for part in ("l_d", "l_t"):
+    for part in (x + "l_d", x + "l_t"):
         logs = F.zip_with(logs, F.coalesce(part, zero), lambda a, b: a + b)
-    logs = F.zip_with(logs, "_ll", lambda a, b: a + b)
-    post = F.when(F.size("_ll") > 0, _softmax(logs))
-    joined = joined.withColumn("_post", post)
-    top = F.array_max("_post")
-    lang = F.get(F.array(*(F.lit(x) for x in [*names, NONE])), (F.array_position("_post", top) - 1).cast("int"))
+    logs = F.zip_with(logs, x + "_ll", lambda a, b: a + b)
+    post = F.when(F.size(x + "_ll") > 0, _softmax(logs))
+    joined = joined.withColumn(x + "_post", post)
+    top = F.array_max(x + "_post")
+    lang = F.get(F.array(*(F.lit(x) for x in [*names, NONE])), (F.array_position(x + "_post", top) - 1).cast("int"))
     kept = F.coalesce((top >= 0.5) & (lang != NONE) & F.rlike(text, F.lit(r"\p{L}")), F.lit(False))
     return joined.select(*(docs[c] for c in docs.columns), F.struct(lang.alias("lang"), top.alias("confidence"), kept.alias("kept")).alias(out))

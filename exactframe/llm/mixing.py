@@ -25,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, n_words, stored, words
+from .common import let, n_words, stored, unused, words
 
 ROUNDS = 24
 
@@ -166,10 +166,13 @@ def mixed_texts(mix: Mix, docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     Where a pass takes all words, the text is the row's own; else the words taken, with one space between.
     """
-    got = mix.taken().groupBy("source_key", "start", "pass").agg(F.sum("n_words").alias("n"), F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"))
-    keyed = mix.rows.select("source_key", "start", "size", F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
-    got = got.join(keyed, ["source_key", "start"]).select("_id", "_hash", "spans", (F.col("n") == F.col("size")).alias("all"))
-    full = docs.withColumn("_hash", F.xxhash64(text)).dropDuplicates([doc_id, "_hash"])
-    out = got.join(full, F.col("_id").eqNullSafe(full[doc_id]) & (got["_hash"] == full["_hash"]))
-    cut = let(words(F.col(text)), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")))), " "))
-    return out.withColumn(text, F.when(F.col("all"), F.col(text)).otherwise(cut)).select(*docs.columns)
+    x = unused(docs)
+    spans = F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias(x + "spans")
+    got = mix.taken().groupBy("source_key", "start", "pass").agg(F.sum("n_words").alias("n"), spans)
+    keyed = mix.rows.select("source_key", "start", "size", F.col("doc_id").alias(x + "id"), F.col("hash").alias(x + "of"))
+    got = got.join(keyed, ["source_key", "start"]).select(x + "id", x + "of", x + "spans", (F.col("n") == F.col("size")).alias(x + "all"))
+    full = docs.withColumn(x + "hash", F.xxhash64(text)).dropDuplicates([doc_id, x + "hash"])
+    out = got.join(full, F.col(x + "id").eqNullSafe(F.col(doc_id)) & (F.col(x + "of") == F.col(x + "hash")))
+    part = lambda w, s: F.slice(w, (s["from_word"] + 1).cast("int"), s["n_words"].cast("int"))
+    cut = let(words(F.col(text)), lambda w: F.array_join(F.flatten(F.transform(x + "spans", lambda s: part(w, s))), " "))
+    return out.withColumn(text, F.when(F.col(x + "all"), F.col(text)).otherwise(cut)).select(*docs.columns)

@@ -121,7 +121,7 @@ def _bad_line(line: Column, suspect: Column, rules: Rules) -> Column:
             phrase = phrase | F.contains(low, F.lit(p))
         item = F.regexp_replace(low, r"^[^\p{L}]++|[^\p{L}]++$", "")
         return (
-            F.when(~F.rlike(low, F.lit(r"\p{L}\p{M}*\p{L}")), True)
+            F.when(~F.rlike(low, F.lit(r"\p{L}")), True)
             .when((F.length(low) <= 60) & item.isin(*NAVIGATION), True)
             .when(suspect | F.rlike(low, F.lit(MARK)) | phrase, let(words(low), apart(low, phrase)))
             .otherwise(False)

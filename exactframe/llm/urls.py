@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, unused
 from .graph import components
 
 
@@ -94,7 +94,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html:
 
     ``redirects``: further edges, as columns (from_url, to_url).
     """
-    address = F.col(url)
+    address, x = F.col(url), unused(pages)
     edges = []
     if html:
         links = pages.filter(F.rlike(html, F.lit("(?i)canonical|http-equiv"))).select(address.alias("from_url"), F.explode(declared_links(F.col(html))).alias("link"))
@@ -115,9 +115,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html:
     seen = ends.select(F.explode(F.array("from_url", "to_url")).alias("u")).distinct()
     seen = seen.select(node_of(F.col("u")).alias("id"), matched(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v"))
     blocked = group.join(seen.filter("v = 'block'").select("id"), "id", "left_semi").select("component").distinct().withColumn("blocked", F.lit(True))
-    alias = group.join(blocked, "component", "left").select(F.col("id").alias("_alias"), F.col("component").alias("_component"), F.col("blocked").alias("_blocked"))
-    joined = judged.join(alias, F.col(out)["node"] == F.col("_alias"), "left")
-    return joined.withColumn(out, _final(out, F.col("_component"), F.coalesce("_blocked", F.lit(False)))).select(*(judged[c] if c != out else F.col(out) for c in pages.columns + [out]))
+    alias = group.join(blocked, "component", "left").select(F.col("id").alias(x + "alias"), F.col("component").alias(x + "component"), F.col("blocked").alias(x + "blocked"))
+    joined = judged.join(alias, F.col(out)["node"] == F.col(x + "alias"), "left")
+    return joined.withColumn(out, _final(out, F.col(x + "component"), F.coalesce(x + "blocked", F.lit(False)))).select(*(judged[c] if c != out else F.col(out) for c in pages.columns + [out]))
 
 
 def _final(out: str, component: Column, blocked: Column) -> Column:

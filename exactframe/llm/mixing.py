@@ -41,7 +41,8 @@ class Mix(NamedTuple):
 
     def taken(self) -> DataFrame:
         """(source_key, start, pass, shard, slot, from_word, n_words): the words of a row that a slot takes."""
-        return self.slots.join(self.pieces, ["source_key", "block"])
+        # what the slots' plan seems to weigh is far less than what they do: never let it be broadcast
+        return self.slots.hint("merge").join(self.pieces.hint("merge"), ["source_key", "block"])
 
 
 def uniform(*parts) -> Column:
@@ -87,7 +88,7 @@ def mix_sources(
     weights: tuple[float, ...] = (5, 2, 1),
     max_passes: int = 3,
     block_words: int = 64,
-    shard_slots: int = 65536,
+    shard_slots: int = 16384,
     seed: int = 17,
     doc_id: str = "doc_id",
     source: str = "source",
@@ -148,11 +149,14 @@ def _slots(sources: DataFrame, shard_slots: int, max_passes: int, seed: int) ->
     per = each.select("shard", F.explode(F.zip_with("spec", "n", lambda s, n: F.struct(s["source_key"].alias("source_key"), s["n_blocks"].alias("n_blocks"), n.alias("n")))).alias("x")).select("shard", "x.*")
     before = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("n > 0")
+    # one source can have most slots, so they are made after spreading its shards
+    per = per.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_key")
     slots = per.select("shard", "source_key", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     slots = slots.filter(F.col("slot") < max_passes * F.col("n_blocks"))
     turn = F.floor(F.col("slot") / F.col("n_blocks"))
     block = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("source_key"), turn)
-    return slots.select("shard", "slot", "source_key", turn.alias("pass"), block.alias("block"))
+    # not null for the planner too, or a join would compute it a second time to test it
+    return slots.select("shard", "slot", "source_key", turn.alias("pass"), F.coalesce(block, F.lit(-1).cast("long")).alias("block"))
 
 
 def taken_words(mix: Mix) -> DataFrame:
@@ -167,12 +171,19 @@ def mixed_texts(mix: Mix, docs: DataFrame, doc_id: str = "doc_id", text: str = "
     Where a pass takes all words, the text is the row's own; else the words taken, with one space between.
     """
     x = unused(docs)
+    key = lambda i, h: F.xxhash64(F.coalesce(i.cast("string"), F.lit("none")), h)
+    copies = lambda *order: F.row_number().over(Window.partitionBy(x + "key").orderBy(*order))
     spans = F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias(x + "spans")
     got = mix.taken().groupBy("source_key", "start", "pass").agg(F.sum("n_words").alias("n"), spans)
-    keyed = mix.rows.select("source_key", "start", "size", F.col("doc_id").alias(x + "id"), F.col("hash").alias(x + "of"))
-    got = got.join(keyed, ["source_key", "start"]).select(x + "id", x + "of", x + "spans", (F.col("n") == F.col("size")).alias(x + "all"))
-    full = docs.withColumn(x + "hash", F.xxhash64(text)).dropDuplicates([doc_id, x + "hash"])
-    out = got.join(full, F.col(x + "id").eqNullSafe(F.col(doc_id)) & (F.col(x + "of") == F.col(x + "hash")))
+    keyed = mix.rows.filter("size > 0").withColumn(x + "key", key(F.col("doc_id"), F.col("hash"))).withColumn(x + "copy", copies("source_key", "start"))
+    keyed = keyed.select("source_key", "start", "size", x + "key", x + "copy", F.col("doc_id").alias(x + "id"), F.col("hash").alias(x + "of"))
+    got = got.join(keyed, ["source_key", "start"]).select(x + "key", x + "copy", x + "id", x + "of", x + "spans", (F.col("n") == F.col("size")).alias(x + "all"))
+    # repeated rows are told apart by number; that, and the id in full, is compared where the key has brought rows
+    # together, so the texts move once
+    full = docs.withColumn(x + "hash", F.xxhash64(text)).withColumn(x + "key", key(F.col(doc_id), F.col(x + "hash"))).withColumn(x + "number", copies(x + "hash"))
+    same = F.coalesce(F.col(x + "id") == F.col(doc_id), F.col(x + "id").isNull() & F.col(doc_id).isNull())
+    one = (F.col(x + "copy") <= F.col(x + "number")) & (F.col(x + "copy") >= F.col(x + "number"))
+    out = got.hint("merge").join(full.hint("merge"), x + "key").filter(same & one)
     part = lambda w, s: F.slice(w, (s["from_word"] + 1).cast("int"), s["n_words"].cast("int"))
     cut = let(words(F.col(text)), lambda w: F.array_join(F.flatten(F.transform(x + "spans", lambda s: part(w, s))), " "))
     return out.withColumn(text, F.when(F.col(x + "all"), F.col(text)).otherwise(cut)).select(*docs.columns)

@@ -16,7 +16,7 @@ from pathlib import Path
 import numpy as np
 
 #: Entries in each cache; a full cache is emptied.
-LIMIT = 1_000_000
+LIMIT = 400_000
 _LETTER = "a-zß-öø-įı-ſ"
 #: What the tokenizer's own pattern does on ordinary Latin text, in lower case.
 _RUN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|\\n|[^{_LETTER}0-9\\n]+")

@@ -53,6 +53,9 @@ FILES = {
     "events": EVENTS, "documents": DOCUMENTS, "embeddings": EMBEDDINGS, "labels": LABELS,
 }
 
+#: Types of the files where they are not the models'.
+STORED_AS = {**dict.fromkeys(("c_acctbal", "s_acctbal", "o_totalprice", "l_quantity", "l_extendedprice"), "double"), "ts": "timestamp_ntz"}
+
 
 def engine(spark: SparkSession, sf_dir: str, *models: Model) -> Engine:
     spark.conf.set("spark.sql.ansi.enabled", "true")
@@ -60,7 +63,7 @@ def engine(spark: SparkSession, sf_dir: str, *models: Model) -> Engine:
     e = Engine(spark)
     for name, m in FILES.items():
         if not models or m in models:
-            e.bind(m, parquet.read(spark, f"{sf_dir}/{name}.parquet", m))
+            e.bind(m, parquet.read(spark, f"{sf_dir}/{name}.parquet", m, stored_as=STORED_AS))
     return e
 
 
@@ -101,11 +104,6 @@ def query(sql: str | None, *models: Model):
 C, O, L, N, R, S, P, E, D, V = CUSTOMER, ORDERS, LINEITEM, NATION, REGION, SUPPLIER, PART, EVENTS, DOCUMENTS, EMBEDDINGS
 
 
-def as_text(e):
-    """A decimal as it is; sums of money compare as decimals."""
-    return e
-
-
 # --- filters, projections, slices -------------------------------------------------------------------------------------
 @query("SELECT c_custkey, c_name FROM customer WHERE (c_acctbal >= 1000 AND c_mktsegment <> 'BUILDING') OR c_nationkey = 3", C)
 def filter_3vl():

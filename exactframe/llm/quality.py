@@ -123,7 +123,7 @@ def _bad_line(line: Column, suspect: Column, rules: Rules) -> Column:
         return (
             F.when(~F.rlike(low, F.lit(r"\p{L}")), True)
             .when((F.length(low) <= 60) & item.isin(*NAVIGATION), True)
-            .when(suspect | F.rlike(low, F.lit(MARK)) | phrase, let(words(low), apart(low, phrase)))
+            .when(suspect | F.rlike(low, F.lit(MARK)) | phrase, let(words(line), apart(low, phrase)))
             .otherwise(False)
         )
 

@@ -131,6 +131,8 @@ def identify(
     address = F.lower(F.coalesce(F.col(host) if host else nil, F.lit("")))
     read = docs.withColumn(x + "_ll", text_evidence(log)(F.col(text)))
     read = read.withColumn(x + "_p", _softmax(F.col(x + "_ll")))
+    # said before the joins, so that they move no text which the caller does not ask for
+    read = read.withColumn(x + "_a", F.coalesce(F.rlike(text, F.lit(r"\p{L}")), F.lit(False)))
     read = read.withColumn(x + "_d", _short(F.col(declared) if declared else nil)).withColumn(x + "_h", address)
     read = read.withColumn(x + "_t", _short(F.regexp_extract(x + "_h", r"\.([^.:]+)(?::\d*)?$", 1))).withColumn(x + "_g", F.regexp_extract(x + "_h", r"([^.]*\.?[^.]*)$", 1))
 
@@ -152,6 +154,9 @@ def identify(
     domains = total(x + "_g").select(x + "_g", smoothed(F.col("s"), share).alias("up"))
     hosts = total(x + "_h", x + "_g").join(domains, x + "_g").select(x + "_h", F.col("s").alias(x + "_s"), F.col("up").alias(x + "_up"))
 
+    # written, so that its size is known: a table of few hosts is sent along by Spark, and a large one is joined by
+    # a shuffle in which the rows of a frequent host can be split
+    hosts = stored(hosts, "hosts")
     joined = read.join(likelihood(x + "_d"), x + "_d", "left").join(likelihood(x + "_t"), x + "_t", "left").join(hosts, x + "_h", "left")
     own = F.zip_with(x + "_s", F.col(x + "_p"), lambda s, p: F.greatest(s - p, F.lit(0.0)))
     prior = F.coalesce(smoothed(own, F.col(x + "_up")), share)
@@ -164,5 +169,5 @@ def identify(
     joined = joined.withColumn(x + "_post", post)
     top = F.array_max(x + "_post")
     lang = F.get(F.array(*(F.lit(x) for x in [*names, NONE])), (F.array_position(x + "_post", top) - 1).cast("int"))
-    kept = F.coalesce((top >= 0.5) & (lang != NONE) & F.rlike(text, F.lit(r"\p{L}")), F.lit(False))
+    kept = F.coalesce((top >= 0.5) & (lang != NONE) & F.col(x + "_a"), F.lit(False))
     return joined.select(*(docs[c] for c in docs.columns), F.struct(lang.alias("lang"), top.alias("confidence"), kept.alias("kept")).alias(out))

@@ -43,8 +43,11 @@ class Lattice:
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
         self.log = np.log(weights)
-        self.some = np.zeros(1 << 22, bool)
-        self.some[self.keys >> _U(42)] = True
+        # piece by the first bits of its key: -1 for none, -2 for several
+        self.direct = np.full(1 << 22, -1, np.int32)
+        slots, first, many = np.unique(self.keys >> _U(42), return_index=True, return_counts=True)
+        self.direct[slots] = np.where(many == 1, self.order[first], -2)
+        self.own = keys
         self.by_text = {p: k for k, p in enumerate(pieces)}
 
     def _key(self, piece: bytes) -> np.uint64:
@@ -53,11 +56,13 @@ class Lattice:
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the keys are pieces, which pieces)."""
-        at = np.flatnonzero(self.some[keys >> _U(42)])
-        k = keys[at]
-        place = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-        ok = self.keys[place] == k
-        return at[ok], self.order[place[ok]]
+        found = self.direct[keys >> _U(42)]
+        at = np.flatnonzero(found != -1)
+        found, k = found[at].astype(np.int64), keys[at]
+        if len(more := np.flatnonzero(found == -2)):
+            found[more] = self.order[np.minimum(np.searchsorted(self.keys, k[more]), len(self.keys) - 1)]
+        ok = self.own[found] == k
+        return at[ok], found[ok]
 
     def _arcs(self, b: np.ndarray):
         """For words of one length, as a matrix of bytes: (from, to, which words, which pieces), by ascending start."""

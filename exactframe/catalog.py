@@ -553,3 +553,62 @@ def insert_row(e: Engine):
 def reference_check(e: Engine):
     tables = {**e.tables, C.key: e.tables[C.key].filter("c_nationkey < 20")}
     return unreferenced(O, C, tables, O.references[0]).select("o_orderkey")
+
+
+# --- combinations -----------------------------------------------------------------------------------------------------
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100) x WHERE x.o_custkey = c_custkey)", C, O)
+def exists_limit():
+    sub = src(O).order_by(O["o_orderkey"]).limit(100).filter(O["o_custkey"].eq(C["c_custkey"]))
+    return src(C).filter(sub.exists()).select({"c_custkey": C["c_custkey"]})
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", O)
+def group_only():
+    return src(O).select({"o_orderstatus": O["o_orderstatus"], "o_orderpriority": O["o_orderpriority"]}).distinct()
+
+
+@query("SELECT * FROM nation WHERE n_regionkey < 3 EXCEPT SELECT * FROM nation WHERE n_nationkey > 12", N)
+def except_models():
+    return src(N).filter(N["n_regionkey"].lt(3)).except_(src(N).filter(N["n_nationkey"].gt(12)))
+
+
+@query("SELECT * FROM (SELECT * FROM nation WHERE n_regionkey < 2 UNION ALL SELECT * FROM nation WHERE n_regionkey > 0)", N)
+def union_models():
+    return src(N).filter(N["n_regionkey"].lt(2)).union_all(src(N).filter(N["n_regionkey"].gt(0)))
+
+
+@query(
+    "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 150000) x ON o_custkey = c_custkey "
+    "ORDER BY o_orderkey ASC NULLS FIRST, c_custkey LIMIT 60",
+    C, O,
+)
+def sort_nulls_first():
+    few = src(O).filter(O["o_orderpriority"].eq("1-URGENT") & O["o_totalprice"].gt(150000))
+    k = O["o_orderkey"].nullable()
+    j = src(C).left_join(few, O["o_custkey"].eq(C["c_custkey"]))
+    return j.order_by(C["c_custkey"]).order_by(k).limit(60).select({"c_custkey": C["c_custkey"], "o_orderkey": k})
+
+
+@query(
+    "SELECT o_orderstatus, count(*) AS n FROM orders WHERE (NOT (o_totalprice > 50000 OR o_orderpriority = '5-LOW') AND o_orderkey % 2 = 1) OR o_custkey IN (1, 2, 3) GROUP BY o_orderstatus", O
+)
+def predicates_mixed():
+    c = ((O["o_totalprice"].gt(50000) | O["o_orderpriority"].eq("5-LOW")).negate() & (O["o_orderkey"] % 2).eq(1)) | O["o_custkey"].is_in([1, 2, 3])
+    return src(O).filter(c).aggregate_by({"o_orderstatus": O["o_orderstatus"]}, {"n": p.count()})
+
+
+@query("SELECT s_suppkey, coalesce(p_size, -1) AS size FROM supplier LEFT JOIN (SELECT * FROM part WHERE p_size > 25) x ON p_partkey = s_suppkey WHERE p_partkey IS NULL OR p_size < 40", S, P)
+def filter_after_outer_join():
+    big = src(P).filter(P["p_size"].gt(25))
+    size = P["p_size"].nullable()
+    j = src(S).left_join(big, P["p_partkey"].eq(S["s_suppkey"]))
+    return j.filter(P["p_partkey"].nullable().is_null() | size.lt(40)).select({"s_suppkey": S["s_suppkey"], "size": size.coalesce(-1)})
+
+
+@query(f"SELECT {_CUSTOMER_SQL.replace('c_acctbal::DECIMAL(18,2) AS c_acctbal', 'CAST(CASE WHEN c_nationkey = 3 THEN 0 ELSE c_acctbal END AS DECIMAL(18,2)) AS c_acctbal')} FROM customer WHERE c_custkey > 100", C)
+def transaction(e: Engine):
+    tx = e.begin()
+    tx.apply(update(C).set(C["c_acctbal"], 0).filter(C["c_nationkey"].eq(3)))
+    tx.apply(delete(C).filter(C["c_custkey"].le(100)))
+    tx.commit()
+    return e.table(C)

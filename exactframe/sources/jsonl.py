@@ -175,7 +175,11 @@ def decoder(model: Model, limits: JsonlLimits):
     schema = to_arrow_schema(model.schema())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
+            seen += batch.num_rows
+            if seen > limits.rows:  # of one task, so that no count over all is needed
+                raise ExactError("JSONL-LIMIT-003", "JSONL execution exceeds the configured scanned-row limit")
             rows = [decode_line(x, model, limits) for x in batch.column(0).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(_arrow(c, f.type), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -145,6 +145,10 @@ def test_jsonl(spark, tmp_path):
     g.bind(EVENT, "e.jsonl")
     code(lambda: g.table(EVENT), "JSONL-LIMIT-001")
     code(lambda: JsonlLimits(rows=0), "JSONL-LIMIT-000")
+    h = JsonlEngine(spark, str(tmp_path), JsonlLimits(rows=1))
+    h.bind(EVENT, "e.jsonl")
+    with pytest.raises(Exception, match="JSONL-LIMIT-003"):
+        h.execute(src).collect()
 
 
 def test_jsonl_rejects():
@@ -315,3 +319,38 @@ def test_placement():
     code(lambda: placement.place_ml("approximate_search", narrow, some), "ML-PLACEMENT-003")
     code(lambda: placement.place_ml("exact_search", narrow, placement.Policy(placement.Budget())), "ML-PLACEMENT-002")
     assert lit(1, t.U8).op == "literal"
+
+
+def test_data_set(spark):
+    from exactframe.dataset import DataSet
+    from exactframe.operators.writes import delete, insert
+
+    two = [dict(id=k, active=True, score=k, tags=[]) for k in (1, 2)]
+    d = DataSet(spark, EVENT, two)
+    assert [r.score for r in d.filter(EVENT["score"].gt(1))] == [2]
+    code(lambda: d.apply(insert(EVENT, two[0])), "DATASET-IDENTITY-001")
+    d.apply(delete(EVENT).filter(EVENT["score"].eq(1)))
+    d.validate()
+    assert len(d.rows()) == 1
+    code(lambda: DataSet(spark, EVENT, [two[0], two[0]]), "DATASET-IDENTITY-001")
+    code(lambda: DataSet(spark, EVENT, [{"id": 1}]), "RUNTIME-002")
+
+
+def test_foreign_values(spark):
+    from exactframe.expr import bind_value
+
+    class Address:
+        type = t.semantic(t.U32, "net/ipv4")
+
+        @staticmethod
+        def encode(text):
+            return sum(int(x) << 8 * k for k, x in enumerate(reversed(text.split("."))))
+
+    host = ModelBuilder("t/host").field("id", t.U64).field("address", Address.type).identity("id").freeze()
+    from exactframe.session import Engine
+
+    e = Engine(spark)
+    e.load(host, [dict(id=1, address=Address.encode("10.0.0.1")), dict(id=2, address=5)])
+    hit = Pipeline.from_model(host).filter(host["address"].eq(bind_value(Address, "10.0.0.1"))).select(host["id"])
+    assert [int(r[0]) for r in e.collect(hit)] == [1]
+    code(lambda: host["address"].eq(lit(5, t.U32)), "EXPR-TYPE-006")

@@ -58,6 +58,11 @@ _MARKS = re.compile(
     r"newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|commentlist|disqus|replies|respond|reply|related|recommended|recirc|"
     r"pagination|pager|search|toolbar|skip|legal|disclaimer|paywall)(?=$|[\s_-])"
 )
+#: Those of them that count on an article or a paragraph too.
+_STRONG = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|adsense|sponsor(?:ed|s)?|promo(?:s|tion)?|cookies?|consent|gdpr|notice|notices|newsletter|subscribe|"
+    r"comments?|replies|reply|related|recommended|share|sharing|copyright|disclaimer)(?=$|[\s_-])"
+)
 #: Start tags that end an open element of these names.
 CLOSES = {
     **dict.fromkeys(BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, frozenset(["p"])),
@@ -88,7 +93,8 @@ def _attributes(name: str, text: str) -> tuple[str, bool]:
     mark = f"{got.get('class', '')} {got.get('id', '')}".strip()
     hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", ""), re.I)
     told = bool(hidden) or got.get("role", "").lower() in ROLES
-    return mark, told or (name not in ("body", "html", "article", "main", "p") and bool(_MARKS.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", mark).lower())))
+    marks = _STRONG if name in ("article", "p") else _MARKS
+    return mark, told or (name not in ("body", "html", "main") and bool(marks.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", mark).lower())))
 
 
 def parse(page: str) -> Node:

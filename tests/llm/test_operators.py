@@ -135,7 +135,7 @@ def test_estimate_is_close():
 PAGE = """<html><head><title>T</title></head><body><header>Top</header><nav><ul><li>Menu</ul></nav><div class="promo-box">Site line</div>
 <article><h1>Head &amp; more</h1><p>One <b>two</b>
  three<br>four<p>Five &#233; &lt;x&gt;</p><div class="share">Share</div><aside>Side</aside><ul><li>a<li>b</ul><form>F</form><script>var x="<p>";</script></article>
-<div id="comments"><p>Reader</p></div><footer>Foot</footer></body></html>"""
+<div id="comments"><p>Reader</p></div><article class="comment"><p>Second reader</article><p class="cookieNotice">We bake</p><footer>Foot</footer></body></html>"""
 
 
 def test_html_blocks():

@@ -30,6 +30,8 @@ from .tokens import word_tokenizer
 
 #: Bits of a sequence number for the sequences of one task.
 TASK_BITS = 40
+#: Rows packed together.
+ROWS = 2000
 
 
 class Limits(NamedTuple):
@@ -160,7 +162,7 @@ def _packed(path: str, end: int, limits: Limits):
             kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             first, at = count, 0
             for group in grouped(x.as_py() for x in texts):
@@ -171,7 +173,7 @@ def _packed(path: str, end: int, limits: Limits):
             done: list[list[Piece]] = []
             for pieces in packer.add(first, sizes, sizes):
                 done.append(pieces)
-                if len(done) == 2000:
+                if len(done) == 500:
                     yield rows(done)
                     done = []
             if done:

@@ -15,8 +15,8 @@ from pathlib import Path
 
 import numpy as np
 
-#: Entries in each cache; a full cache is emptied.
-LIMIT = 400_000
+#: Entries in the caches of words and of runs; a full cache is emptied.
+WORDS, RUNS = 250_000, 350_000
 _LETTER = "a-zß-öø-įı-ſ"
 #: What the tokenizer's own pattern does on ordinary Latin text, in lower case.
 _RUN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|\\n|[^{_LETTER}0-9\\n]+")
@@ -49,7 +49,7 @@ class WordTokenizer:
     def ids(self, texts: list[bytes]) -> list[bytes]:
         # lower case comes first anyway; control strings are told by case
         cut = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts]
-        if len(self.words) > LIMIT:
+        if len(self.words) > WORDS:
             self.words.clear()
         new = set().union(*cut).difference(self.words)
         if new:
@@ -58,7 +58,7 @@ class WordTokenizer:
         return [b"".join(map(get, ws)) for ws in cut]
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.runs) > LIMIT:
+        if len(self.runs) > RUNS:
             self.runs.clear()
         text = b"\n".join(new).decode("utf-8", "replace")
         if _ODD.search(text):

@@ -130,9 +130,9 @@ def _bad_line(line: Column, suspect: Column, rules: Rules) -> Column:
     return let(F.lower(line), judged)
 
 
-def judge(docs: DataFrame, text: str = "text", out: str = "quality", rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with a struct column ``out``: the counts, the cleaned text, and the verdicts ``base_failed`` and ``kept``."""
-    whole = F.coalesce(docs[text], F.lit(""))
+def verdict(text: Column, rules: Rules = Rules()) -> Column:
+    """Of one text: the counts, the cleaned text, and the verdicts ``base_failed`` and ``kept``, as a struct."""
+    whole = F.coalesce(text, F.lit(""))
     blank = lambda line: F.trim(line, F.lit(BLANKS)) == ""
 
     def of_words(ws: Column) -> Column:
@@ -166,4 +166,19 @@ def judge(docs: DataFrame, text: str = "text", out: str = "quality", rules: Rule
             (~failed & left).alias("kept"),
         )
 
-    return docs.withColumn(out, let(let(whole, measured), judged))
+    return let(let(whole, measured), judged)
+
+
+def judge(docs: DataFrame, text: str = "text", out: str = "quality", rules: Rules = Rules()) -> DataFrame:
+    """``docs`` with the verdicts on their texts in the struct column ``out``."""
+    return docs.withColumn(out, verdict(docs[text], rules))
+
+
+def passed(docs: DataFrame, text: str = "text", out: str = "quality", rules: Rules = Rules()) -> DataFrame:
+    """``judge``, and only the rows that are kept.
+
+    A filter on the verdict would be moved below it and judge every text a second time; a list of one that is emptied
+    does not.
+    """
+    one = F.filter(F.array(verdict(F.col(text), rules)), lambda q: q["kept"])
+    return docs.select(*(c for c in docs.columns if c != out), F.explode(one).alias(out))

@@ -11,14 +11,14 @@ from exactframe.llm.langid import identify
 from exactframe.llm.minhash import near_duplicates
 from exactframe.llm.mixing import mix_sources, mixed_texts
 from exactframe.llm.packing import pack_documents
-from exactframe.llm.quality import judge
+from exactframe.llm.quality import passed
 
 DOC = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others keep the lines that passed."""
-    q = judge(docs, out="_q").filter("_q.kept")
+    q = passed(docs, out="_q")
     return q.withColumn("text", F.col("_q.clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*DOC)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .blocks import paired_blocks, runs
 from .common import stored
 from .graph import components
-from .shingles import grouped, mix, shingle_sets
+from .shingles import grouped, mix, shingle_sets, tidy
 
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
@@ -91,6 +91,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["doc_id", "n", "same", "registers"],
             )
             at += len(group)
+    tidy()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +104,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
             yield pa.RecordBatch.from_arrays([ids.slice(at, len(group)), flat], ["id", "shingles"])
             at += len(group)
+    tidy()
 
 
 def _likely(percent: int, deviations: float):

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import grouped
+from .shingles import grouped, tidy
 from .tokens import word_tokenizer
 
 #: Bits of a sequence number for the sequences of one task.
@@ -182,6 +182,8 @@ def _packed(path: str, end: int, limits: Limits):
             held = {k: v for k, v in held.items() if k in need}
         if last := list(packer.finish()):
             yield rows(last)
+        tokenizer.runs.clear()
+        tidy()
 
     return pack
 

@@ -467,6 +467,47 @@ def window_sum_around():
     return _win(p.window_sum(O["o_totalprice"]).partition_by(O["o_custkey"]).order_by(O["o_orderkey"]).frame(Rows.around(2)))
 
 
+# the same over all orders: a window of each customer
+def _whole(w):
+    return src(O).window(w)
+
+
+def _whole_sql(f: str) -> str:
+    names = ", ".join(f'{"o_totalprice::DECIMAL(18,2)" if f_.name == "o_totalprice" else f_.name} AS "orders.{f_.name}"' for f_ in O.fields)
+    return f"SELECT {names}, {f} AS w FROM orders"
+
+
+@query(_whole_sql("row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)"), O)
+def row_number_whole():
+    return _whole(p.row_number().partition_by(O["o_custkey"]).order_by_desc(O["o_orderdate"]).order_by(O["o_orderkey"]))
+
+
+@query(_whole_sql("rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority)"), O)
+def rank_whole():
+    return _whole(p.rank().partition_by(O["o_custkey"]).order_by(O["o_orderpriority"]))
+
+
+@query(_whole_sql("dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC)"), O)
+def dense_rank_whole():
+    return _whole(p.dense_rank().partition_by(O["o_custkey"]).order_by_desc(O["o_orderpriority"]))
+
+
+@query(_whole_sql("CAST(sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey) AS DECIMAL(18,2))"), O)
+def window_sum_all_whole():
+    return _whole(p.window_sum(O["o_totalprice"]).partition_by(O["o_custkey"]).frame(Rows.all()))
+
+
+@query(_whole_sql("CAST(sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2))"), O)
+def window_sum_running_whole():
+    return _whole(p.window_sum(O["o_totalprice"]).partition_by(O["o_custkey"]).order_by(O["o_orderkey"]).frame(Rows.to_current()))
+
+
+@query(_whole_sql("CAST(sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS DECIMAL(18,2))"), O)
+def window_sum_around_whole():
+    return _whole(p.window_sum(O["o_totalprice"]).partition_by(O["o_custkey"]).order_by(O["o_orderkey"]).frame(Rows.around(2)))
+
+
+
 # --- lists, vectors, evaluation ---------------------------------------------------------------------------------------
 @query("SELECT CAST(unnest(embedding) AS FLOAT) AS value FROM embeddings", V)
 def unnest_list():

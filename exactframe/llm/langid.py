@@ -8,7 +8,8 @@ and a domain towards all rows, and a row's own share is taken out of its host's.
 of the languages, has uniform trigrams.
 
 The trigram model alone is fitted on a sample: the SAMPLE rows of each label with the least hash of id and text
-length, so a bounded number; the labels are those of ``label``. Declared languages and suffixes count as written if
+length (and rows that tie with the last of them), so a bounded number; the labels are all those that ``label`` has, as
+written. Declared languages and suffixes count as written if
 they are two or three letters, else as one value, so their tables have at most 18,279 values, which bounds what is
 broadcast.
 
@@ -23,18 +24,21 @@ row; the caller's columns are kept, and those added are in one struct, whose nam
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import stored, unused
 
-#: Rows of each label, at most, that the trigram model is fitted on; labels, at most (those with most rows).
-SAMPLE, LABELS = 2000, 64
+#: Rows of each label, at most, that the trigram model is fitted on.
+SAMPLE = 2000
+#: Up to so many labels the model is a table of all bins; with more, each bin has the labels whose sample has it.
+DENSE = 64
 #: Trigrams are counted in so many bins.
 BINS = 1 << 16
 #: Trigrams that count as independent evidence at most: overlapping ones are not.
@@ -55,39 +59,87 @@ def bins(text: str) -> np.ndarray:
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, np.ndarray] = {}
+    counts: dict[int, np.ndarray] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for label, n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at])], ["label", "bin", "n"])
+        counts.clear()
+
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if label not in counts and len(counts) == DENSE:
+                yield from rows()
             counts.setdefault(label, np.zeros(BINS, np.int64))
             np.add.at(counts[label], bins(text.as_py() or ""), 1)
-    for label, n in counts.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["label", "bin", "n"])
+    yield from rows()
+
+
+class Sparse(NamedTuple):
+    """The log-probabilities where there are many languages: that of a bin which a language's sample has not, and what the others have beyond it."""
 
+    base: np.ndarray
+    #: The entries of bin b are those from starts[b] to starts[b + 1].
+    starts: np.ndarray
+    language: np.ndarray
+    more: np.ndarray
 
-def fit(docs: DataFrame, label: str, text: str, key: str) -> tuple[list[str], np.ndarray]:
+    def total(self, at: np.ndarray) -> np.ndarray:
+        out = self.base * len(at)
+        found, times = np.unique(at, return_counts=True)
+        for lo in range(0, len(found), 1 << 12):
+            b, t = found[lo : lo + (1 << 12)], times[lo : lo + (1 << 12)]
+            many = self.starts[b + 1] - self.starts[b]
+            k = np.repeat(self.starts[b] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            out += np.bincount(self.language[k], self.more[k] * np.repeat(t, many), len(out))
+        return out
+
+
+def _bounds(known: DataFrame, mark: Column, label: str) -> list[tuple[str, int]]:
+    """(label, the mark up to which its rows are in the sample) of every label.
+
+    Marks are counted by their first bits; only those of the slot where a label's count passes SAMPLE are sorted.
+    """
+    marks = known.select(F.col(label).alias("label"), mark.alias("mark")).withColumn("slot", F.shiftright("mark", 54))
+    order = Window.partitionBy("label").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slots = marks.groupBy("label", "slot").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(order))
+    edge = slots.filter((F.col("upto") >= SAMPLE) & (F.col("upto") - F.col("n") < SAMPLE)).select("label", "slot", (F.col("upto") - F.col("n")).alias("before"))
+    names = [r[0] for r in slots.select("label").distinct().collect()]
+    near = marks.join(F.broadcast(edge), ["label", "slot"]).groupBy("label", "mark", "before").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("label").orderBy("mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = near.withColumn("upto", F.col("before") + F.sum("n").over(order)).filter(F.col("upto") >= SAMPLE).groupBy("label").agg(F.min("mark"))
+    found = dict(map(tuple, last.collect()))
+    return [(n, found.get(n, (1 << 63) - 1)) for n in sorted(names)]
+
+
+def fit(docs: DataFrame, label: str, text: str, key: str) -> tuple[list[str], np.ndarray | Sparse]:
     """(languages, log-probability of each bin in each language, the last column for none of them)."""
     known = docs.filter(F.col(label).isNotNull())
-    names = sorted(r[0] for r in known.groupBy(F.col(label)).count().orderBy(F.desc("count"), label).limit(LABELS).collect())
     mark = F.xxhash64(F.col(key).cast("string"), F.length(text))
-    parts = [known.filter(F.col(label) == n).select(F.col(label).alias("label"), F.col(text).alias("text"), mark.alias("mark")).orderBy("mark").limit(SAMPLE) for n in names]
-    log = np.full((BINS, len(names) + 1), -np.log(BINS))
-    if parts:
-        sample = parts[0]
-        for p in parts[1:]:
-            sample = sample.unionByName(p)
-        got = sample.select("label", "text").mapInArrow(_trigrams, "label string, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toPandas()
-        for k, n in enumerate(names):
-            one = got[got["label"] == n]
-            counts = np.full(BINS, 0.1)
-            counts[one["bin"].to_numpy()] += one["n"].to_numpy()
-            log[:, k] = np.log(counts / counts.sum())
+    bounds = _bounds(known, mark, label)
+    names = [n for n, _ in bounds]
+    size = len(names)
+    at, bin_, n = np.zeros((3, 0), np.int64)
+    if names:
+        upto = docs.sparkSession.createDataFrame([(n, k, m) for k, (n, m) in enumerate(bounds)], "label string, at int, upto long")
+        rows = known.select(F.col(label).alias("label"), F.col(text).alias("text"), mark.alias("mark")).join(F.broadcast(upto), "label").filter("mark <= upto")
+        got = rows.select("at", "text").mapInArrow(_trigrams, "label int, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toPandas()
+        at, bin_, n = (got[c].to_numpy() for c in ("label", "bin", "n"))
+    whole = np.bincount(at, n, size) + 0.1 * BINS
+    if size > DENSE:
+        order = np.argsort(bin_, kind="stable")
+        base = np.append(np.log(0.1 / whole), -np.log(BINS))
+        return names, Sparse(base, np.searchsorted(bin_[order], np.arange(BINS + 1)), at[order].astype(np.int32), np.log1p(n[order] / 0.1).astype(np.float32))
+    log = np.full((BINS, size + 1), -np.log(BINS))
+    log[:, :size] = np.log(0.1 / whole)
+    log[bin_, at] = np.log((n + 0.1) / whole[at])
     return names, log
 
 
-def text_evidence(log: np.ndarray):
+def text_evidence(log: np.ndarray | Sparse):
     """Column function: the log-likelihoods of the languages, tempered; empty without trigrams."""
-    shared = log.astype(np.float32)
+    shared = log if isinstance(log, Sparse) else log.astype(np.float32)
 
     @pandas_udf("array<double>")
     def evidence(texts: pd.Series) -> pd.Series:
@@ -95,9 +147,12 @@ def text_evidence(log: np.ndarray):
         for t in texts:
             at = bins(t) if t else ()
             if len(at):
-                total = np.zeros(shared.shape[1])
-                for lo in range(0, len(at), 1 << 16):
-                    total += shared[at[lo : lo + (1 << 16)]].sum(0)
+                if isinstance(shared, Sparse):
+                    total = shared.total(at)
+                else:
+                    total = np.zeros(shared.shape[1])
+                    for lo in range(0, len(at), 1 << 16):
+                        total += shared[at[lo : lo + (1 << 16)]].sum(0)
                 out.append((total - total.max()) * min(1.0, WEIGHT / len(at)))
             else:
                 out.append(np.zeros(0))

@@ -218,6 +218,32 @@ def test_evidence_decides_when_text_does_not(spark):
     assert got.count() == 100
 
 
+def test_every_label_is_fitted(spark):
+    rng = random.Random(8)
+    said = lambda k: "".join(chr(97 + (k * 7 + j * (k % 11 + 1)) % 26) for j in range(6)) + f" {chr(0x4E00 + k)}{chr(0x4E00 + k)} "
+    rows = [(100 * k + j, said(k) * rng.randint(3, 9), f"l{k:02}", "s") for k in range(langid.DENSE + 6) for j in range(6 if k < 64 else 3)]
+    df = spark.createDataFrame(rows, DOC)
+    names, log = langid.fit(df, "lang", "text", "doc_id")
+    assert names == sorted({r[2] for r in rows}) and isinstance(log, langid.Sparse)
+    got = langid.identify(df, declared=None, model=(names, log)).collect()
+    assert all(r.language.lang == r.lang and r.language.kept for r in got)
+
+
+def test_sparse_model_and_sample(spark, monkeypatch):
+    d = table(spark, SF, "documents").select("doc_id", "text", "lang", "source")
+    names, log = langid.fit(d, "lang", "text", "doc_id")
+    monkeypatch.setattr(langid, "DENSE", 1)
+    assert langid.fit(d, "lang", "text", "doc_id")[0] == names
+    at = langid.bins("the quick brown fox und der die das " * 30)
+    assert np.allclose(langid.fit(d, "lang", "text", "doc_id")[1].total(at), log[at].sum(0), rtol=1e-5)
+    monkeypatch.setattr(langid, "SAMPLE", 5)
+    mark = F.xxhash64(F.col("doc_id").cast("string"), F.length("text"))
+    marks = collections.defaultdict(list)
+    for r in d.select("lang", mark.alias("m")).collect():
+        marks[r.lang].append(r.m)
+    assert langid._bounds(d, mark, "lang") == [(n, sorted(marks[n])[4]) for n in sorted(marks)]
+
+
 # --- 5 ---
 def test_vectors(spark):
     rng = np.random.default_rng(2)

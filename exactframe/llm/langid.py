@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import stored, unused
+from .html import main_text
+from .urls import _attribute, host_of
 
 #: Rows of each label, at most, that the trigram model is fitted on.
 SAMPLE = 2000
@@ -161,6 +163,19 @@ def text_evidence(log: np.ndarray | Sparse):
     return evidence
 
 
+def page_evidence(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text", declared: str = "declared", host: str = "host") -> DataFrame:
+    """``pages`` with what ``identify`` reads of a page: its main text, the language its markup declares, its address's host.
+
+    The declared language is the ``lang`` or ``xml:lang`` of the html element, else the Content-Language of a meta element, else null.
+    """
+    root = F.regexp_extract(html, r"(?is)<html\s[^>]*+>", 0)
+    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*+>"), F.lit(0))
+    said = F.filter(metas, lambda m: F.lower(_attribute(m, "http-equiv")) == "content-language")
+    value = lambda x: F.when(x != "", x)
+    language = F.coalesce(value(_attribute(root, "lang")), value(_attribute(root, "xml:lang")), value(_attribute(F.get(said, F.lit(0)), "content")))
+    return main_text(pages, url, html, text).withColumns({declared: language, host: host_of(F.col(url))})
+
+
 def _short(value: Column) -> Column:
     """A declared language's first part or an address suffix, if it is two or three letters; else one value for all others."""
     first = F.regexp_extract(F.lower(F.coalesce(value, F.lit(""))), r"^\s*([a-z]{2,3})(?:[-_].*)?\s*$", 1)

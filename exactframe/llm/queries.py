@@ -51,6 +51,16 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("lang").alias("declared"), "source", F.col("l.lang").alias("lang"), F.col("l.confidence").alias("confidence"), F.col("l.kept").alias("kept"))
 
 
+def op4_langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import stored
+    from .langid import fit, identify, page_evidence
+
+    model = fit(table(spark, sf_dir, "documents"), "lang", "text", "doc_id")
+    pages = stored(page_evidence(table(spark, sf_dir, "pages")).select("page_id", "url", "declared", "host", "text"), "pages")
+    done = identify(pages, declared="declared", host="host", key="page_id", out="l", model=model)
+    return done.select("page_id", "url", "declared", "host", F.col("l.lang").alias("lang"), F.col("l.confidence").alias("confidence"), F.col("l.kept").alias("kept"))
+
+
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vectors import near_vectors
 
@@ -88,7 +98,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_html": op2_html, "op3_urls": op3_urls, "op4_langid": op4_langid, "op5_vectors": op5_vectors, "op6_mix": op6_mix, "op7_pack": op7_pack, "op8_chat": op8_chat, "op9_lm": op9_lm, "op10_quality": op10_quality}
+QUERIES = {"op1_minhash": op1_minhash, "op2_html": op2_html, "op3_urls": op3_urls, "op4_langid": op4_langid, "op4_langid_pages": op4_langid_pages, "op5_vectors": op5_vectors, "op6_mix": op6_mix, "op7_pack": op7_pack, "op8_chat": op8_chat, "op9_lm": op9_lm, "op10_quality": op10_quality}
 def _quality_sql() -> str:
     from .quality import BOILERPLATE, MARK, NAVIGATION, SYMBOL
 

@@ -244,6 +244,28 @@ def test_sparse_model_and_sample(spark, monkeypatch):
     assert langid._bounds(d, mark, "lang") == [(n, sorted(marks[n])[4]) for n in sorted(marks)]
 
 
+def test_pages_have_all_evidence(spark):
+    page = lambda k, host, text, lang="": (k, f"http://{host}/{k}", f"<!DOCTYPE html><html{lang}><body><article><p>{text}</p></article></body></html>")
+    de, fr = "ddd eee dde eed", "fff ggg ffg ggf"
+    # a third of the pages of each language is on .org, half of them declare nothing
+    rows = [page(k, f"h{k % 5}.{'org' if k % 3 == 2 else 'de'}", de, " lang='de-AT'" if k % 2 == 0 else "") for k in range(60)]
+    rows += [page(100 + k, f"g{k % 5}.{'org' if k % 3 == 2 else 'fr'}", fr, ' xml:lang="fr"' if k % 2 == 0 else "") for k in range(60)]
+    rows += [page(300, "new.de", "xx"), page(301, "new.fr:80", "xx"), page(302, "new.org", "xx", " class=a LANG=fr"), page(303, "sub.h1.de", "xx"), (304, None, None)]
+    rows += [(305, "http://new.org/", "<html><head><meta content='de' http-equiv='Content-Language'></head><p>xx</p>")]
+    read = langid.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    said = {r.page_id: (r.declared, r.host, r.text) for r in read.collect()}
+    assert said[0] == ("de-AT", "h0.de", de) and said[100][0] == "fr" and said[302][0] == "fr" and said[305][0] == "de" and said[304] == (None, "", "")
+    model = langid.fit(spark.createDataFrame([(1, de * 50, "de"), (2, fr * 50, "fr")], "doc_id long, text string, lang string"), "lang", "text", "doc_id")
+    got = {r.page_id: r.language.lang for r in langid.identify(read, declared="declared", host="host", key="page_id", model=model).collect()}
+    assert [got[k] for k in (0, 100, 300, 301, 302, 303, 305)] == ["de", "fr", "de", "fr", "fr", "de", "de"]
+
+
+def test_langid_pages_query(spark):
+    got = queries.op4_langid_pages(spark, SF).collect()
+    assert len(got) == table(spark, SF, "pages").count() and {r.declared for r in got} == {"en", "de", "fr", "es"}
+    assert np.mean([r.lang == r.declared for r in got]) > 0.9
+
+
 # --- 5 ---
 def test_vectors(spark):
     rng = np.random.default_rng(2)

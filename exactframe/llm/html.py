@@ -5,8 +5,8 @@ counts, for each host, on how many different page bodies each hash occurs; subtr
 the site's template and are deleted. A body here is the page's remaining text, so that copies of one page, which
 share everything, make nothing recur. Elements whose name, role or class says that they are not the article (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, comments and the like) are deleted first, as hosts with
-a few pages show no recurrence. Inside an article, paragraphs, headings, lists, tables, quotes and code are the
-author's and are never taken for template.
+a few pages show no recurrence. Inside an article, paragraphs, headings, lists, tables, quotes and code are mostly the
+author's, and copied text recurs too: they are template only if they recur on half of the bodies.
 
 What is left is cut into blocks at block elements. Character references are decoded, white space inside a block
 becomes one space, and blocks are joined by two line breaks.
@@ -32,8 +32,12 @@ from pyspark.sql.functions import pandas_udf
 from .common import stored, unused
 from .urls import host_of
 
-#: A subtree is template if it occurs in so many bodies of its host at least, and in this share of them.
+#: A subtree is template if it occurs in so many bodies of its host at least, and in this share of them; or, by the
+#: number of them, in MANY_BODIES and a smaller share, which bounds a host's template.
 LEAST_BODIES, SHARE = 5, 0.3
+MANY_BODIES, MANY_SHARE = 50, 0.05
+#: The share for prose inside an article, where many bodies alone say nothing: license lines are on many, at the ends too.
+PROSE_SHARE = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -48,7 +52,7 @@ DROPPED = frozenset(
     "head script style noscript template iframe object embed applet svg math canvas audio video map nav header footer aside form button select "
     "textarea input option fieldset dialog menu title link meta xmp noembed noframes".split()
 )
-#: Elements that inside an article are the author's own.
+#: Elements that inside an article are mostly the author's own.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ol ul li dl dt dd table thead tbody tfoot tr td th caption figure figcaption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Whole words of classes and ids, at least one of which marks an element that is not the article.
@@ -158,11 +162,14 @@ def _article(root: Node) -> Node:
     return root
 
 
-def blocks(root: Node, template: frozenset[int] = frozenset()) -> tuple[list[str], list[int]]:
-    """(text blocks in page order, hashes of the block elements that may be template), without subtrees in ``template``."""
+#: What prose inside an article adds to its hash, so that it is counted apart.
+PROSAIC = 0x2545F4914F6CDD1D
+
+
+def blocks(root: Node, template: frozenset[int] = frozenset()) -> tuple[list[str], list[tuple[int, bool]]]:
+    """(text blocks in page order, the block elements that may be template: hash, whether prose inside an article), without subtrees in ``template``."""
     start = _article(root)
     out: list[str] = []
-    seen: list[int] = []
     parts: list[str] = []
 
     def flush() -> None:
@@ -188,8 +195,10 @@ def blocks(root: Node, template: frozenset[int] = frozenset()) -> tuple[list[str
                 h.update(hashes[id(c)])
         hashes[id(x)] = h.digest()
     number = lambda x: int.from_bytes(hashes[id(x)], "big", signed=True)
-    may = lambda x: x is not start and x.name in BLOCK and not (inside and x.name in PROSE)
-    seen = [number(x) for x in order if may(x)]
+    may = lambda x: x is not start and x.name in BLOCK
+    prose = lambda x: inside and x.name in PROSE
+    counted = lambda x: number(x) ^ PROSAIC if prose(x) else number(x)
+    seen = [(counted(x), prose(x)) for x in order if may(x)]
     stack: list[Node | str | None] = [start]
     while stack:
         x = stack.pop()
@@ -197,7 +206,7 @@ def blocks(root: Node, template: frozenset[int] = frozenset()) -> tuple[list[str
             flush()
         elif isinstance(x, str):
             parts.append(x)
-        elif x.dropped or (may(x) and number(x) in template):
+        elif x.dropped or (may(x) and counted(x) in template):
             flush()
         elif x.name == "br":
             parts.append(" ")
@@ -212,26 +221,30 @@ def blocks(root: Node, template: frozenset[int] = frozenset()) -> tuple[list[str
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, bodies, trees = [], [], []
+        hosts, bodies, trees, kinds = [], [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text, seen = blocks(parse(page.as_py() or ""))
             body = int.from_bytes(hashlib.blake2b("\n".join(text).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-            for s in {*seen, 0}:  # 0 for the page itself
+            for s, prose in {*seen, (0, False)}:  # 0 for the page itself
                 hosts.append(host)
                 bodies.append(body)
                 trees.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(trees, pa.int64()), pa.array(bodies, pa.int64())], ["host", "tree", "body"])
+                kinds.append(prose)
+        arrays = [pa.array(hosts, pa.string()), pa.array(trees, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(bodies, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["host", "tree", "prose", "body"])
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the column ``out``: the main text."""
     x = unused(pages)
     given = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    counts = given.mapInArrow(_subtrees, "host string, tree long, body long").distinct().groupBy("host", "tree").agg(F.count("*").alias("n"))
+    counts = given.mapInArrow(_subtrees, "host string, tree long, prose boolean, body long").distinct().groupBy("host", "tree", "prose").agg(F.count("*").alias("n"))
     counts = stored(counts, "subtrees")
     bodies = counts.filter("tree = 0").select("host", F.col("n").alias("bodies"))
-    often = counts.filter(f"tree != 0 and n >= {LEAST_BODIES}").join(bodies, "host").filter(F.col("n") >= F.col("bodies") * SHARE)
-    # at most (elements of a page) / SHARE hashes for a host, as each is on that share of its bodies
+    share = F.when(F.col("prose"), PROSE_SHARE).otherwise(SHARE)
+    many = ~F.col("prose") & (F.col("n") >= MANY_BODIES) & (F.col("n") >= F.col("bodies") * MANY_SHARE)
+    often = counts.filter(f"tree != 0 and n >= {LEAST_BODIES}").join(bodies, "host").filter((F.col("n") >= F.col("bodies") * share) | many)
+    # at most (elements of a page) / MANY_SHARE hashes for a host, as each is on that share of its bodies at least
     template = stored(often.groupBy("host").agg(F.collect_list("tree").alias(x + "template")).withColumnRenamed("host", x + "host"), "template")
 
     @pandas_udf("string")

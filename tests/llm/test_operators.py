@@ -159,6 +159,19 @@ def test_html_templates(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_html_templates_inside_articles(spark):
+    own = lambda k: f"<p>Own words {k}</p>"
+    page = lambda k, host, body: (k, f"http://{host}/{k}", f"<html><body><article><h1>Head {k}</h1>{body}</article></body></html>")
+    rows = [page(k, "a.com", f"{own(k)}<p>Join our list</p><ul><li>Share it</li></ul>") for k in range(20)]
+    rows += [page(100 + k, "b.com", f"{own(k)}{'<p>Copied text</p>' if k < 7 else ''}<p>More {k}</p>") for k in range(20)]  # a third of the bodies
+    section = lambda k: "<section>Section menu</section>" if k < 60 else ""
+    rows += [page(200 + k, "c.com", f"{own(k)}{section(k)}{'<p>License</p>' if k < 60 else ''}") for k in range(400)]  # many, but a small share
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert got[3] == "Head 3\n\nOwn words 3" and got[205] == "Head 205\n\nOwn words 5\n\nLicense" and got[265] == "Head 265\n\nOwn words 65"
+    assert got[101] == "Head 101\n\nOwn words 1\n\nCopied text\n\nMore 1"
+
+
 # --- 3 ---
 RULES = (urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"), urls.Rule("block", "net", "/es/"))
 

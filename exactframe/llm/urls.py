@@ -64,7 +64,7 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def declared_links(html: Column) -> Column:
     """The addresses that a page gives as its canonical one or redirects to, as written."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\s[^>]{0,4000}>"), F.lit(0))
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\s[^>]*+>"), F.lit(0))
 
     def of(tag: Column) -> Column:
         canonical = F.rlike(_attribute(tag, "rel"), F.lit(r"(?i)(^|\s)canonical(\s|$)"))

@@ -203,6 +203,12 @@ def test_block_travels(spark):
     assert {r.url_filter.verdict for r in urls.filter_urls(df, RULES).collect()} == {"allow"}
 
 
+def test_long_link_tags(spark):
+    page = f'<link rel="canonical" data-x="{"y" * 9000}" href="http://bad.net/es/1">'
+    df = spark.createDataFrame([(1, "http://h.org/", page), (2, "http://i.org/", "<link " * 5000)], "page_id long, url string, html string")
+    assert {r.page_id: r.url_filter.verdict for r in urls.filter_urls(df, RULES).collect()} == {1: "block", 2: "allow"}
+
+
 # --- 4 ---
 def test_langid(spark):
     d = table(spark, SF, "documents").select("doc_id", "text", "lang", "source")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -138,12 +139,56 @@ PAGE = """<html><head><title>T</title></head><body><header>Top</header><nav><ul>
 <div id="comments"><p>Reader</p></div><article class="comment"><p>Second reader</article><p class="cookieNotice">We bake</p><footer>Foot</footer></body></html>"""
 
 
+def main_blocks(page, template=None):
+    return html.read(html.Facts(html.parse(page)), template)
+
+
 def test_html_blocks():
-    text, _ = html.blocks(html.parse(PAGE))
-    assert text == ["Head & more", "One two three four", "Five é <x>", "a", "b"]
-    for odd in ("", "<", "<p", "<!-- x", "</p>", "<p>a", "a<b", "<script>x", "<div/><p>y</p>", "&", "<a href='>'>t</a>", "<p class=>z"):
-        html.blocks(html.parse(odd))
-    assert html.blocks(html.parse("<div><p>y"))[0] == ["y"]
+    assert main_blocks(PAGE) == ["Head & more", "One two three four", "Five é <x>", "a", "b"]
+    for odd in ("", "<", "<p", "<!-- x", "</p>", "<p>a", "a<b", "<script>x", "<div/><p>y</p>", "&", "<a href='>'>t</a>", "<p class=>z", "<!", "<?", "<![CDATA[", "</", "<a b='"):
+        main_blocks(odd)
+    assert main_blocks("<div><p>y") == ["y"]
+
+
+def test_html_attributes_are_read_by_name():
+    for p in ('<p title="a hidden gem">Kept</p>', '<p data-state="hidden">Kept</p>', '<div data-id="promo">Kept</div>', "<div title='class=ad'>Kept</div>", '<p alt="x hidden">Kept</p>'):
+        assert main_blocks(f"<body>{p}</body>") == ["Kept"], p
+    for p in ("<p hidden>Gone</p>", '<p aria-hidden="true">Gone</p>', "<div style='display: none'>Gone</div>", "<div class=ad>Gone</div>", '<div id="comments">Gone</div>', "<div role=navigation>Gone</div>"):
+        assert main_blocks(f"<body>{p}<p>Kept</p></body>") == ["Kept"], p
+    for p in ('<div class="story-side">Kept</div>', '<div class="content alert-free">Kept</div>', '<div role="main" class="legal">Kept</div>', "<article><header><h1>Kept</h1></header></article>"):
+        assert main_blocks(f"<body>{p}</body>") == ["Kept"], p
+    assert main_blocks("<form><nav>Menu</nav><article><p>Kept</p></article></form>") == ["Kept"]  # a form around the whole page
+
+
+def test_html_broken_tags_are_not_text():
+    assert main_blocks('<a href="x>link</a>') == ["link"]
+    assert main_blocks("<p>a</p><p title='b>c</p>") == ["a", "c"]
+    assert main_blocks('<p class="x"y">a</p>') == ["a"] and main_blocks("<p>1 < 2</p>") == ["1 < 2"]
+    began = time.monotonic()
+    for hostile in ('<a href="x' * 100_000, "<a href='x>" * 50_000, "<p>" * 50_000, "<span>" * 50_000 + "</p>" * 50_000, "<!--" * 100_000, "<![CDATA[" * 100_000, "</" * 200_000, "<div>" * 20_000):
+        main_blocks(hostile)
+    assert time.monotonic() - began < 30
+    long = "<body>" + "".join(f"<p>Paragraph {k}</p>" for k in range(60_000)) + "</body>"
+    assert main_blocks(long) == [f"Paragraph {k}" for k in range(60_000)]
+
+
+def test_html_template_without_names(spark, monkeypatch):
+    """Pages of bare divs: what recurs on a host goes, and stays if nothing is counted."""
+    menu = lambda k: "".join(f"<a href='/{k}/{j}'>Link {(k * 7 + j) % 50}</a> " for j in range(4))  # noqa: E731 - differs from page to page
+    page = lambda k, host: (k, f"http://{host}/{k}", f"<body><div>{menu(k)}</div><div>Daily news since 1900</div><div><div>Story {k} <a href='#'>of</a> its own</div></div><div>Imprint and <b>terms</b></div></body>")
+    df = spark.createDataFrame([page(k, "a.com") for k in range(12)] + [page(50, "b.com")], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert all(got[k] == f"Story {k} of its own" for k in range(12))
+    assert got[50].count("\n\n") == 3  # one page of a host shows nothing
+    weak = lambda k, body: (k, f"http://c.com/{k}", f"<body>{body}<div>Story {k} of its own</div></body>")
+    rows = [weak(k, f"<div class='widget'>Offer {k}</div>") for k in range(10)] + [weak(20, "<div class='legal'>A court's opinion</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert got[3] == "Story 3 of its own"  # a frame that recurs, whatever it says
+    assert got[20] == "A court's opinion\n\nStory 20 of its own"  # a hint that nothing confirms
+    monkeypatch.setattr(html, "LEAST_BODIES", 1000)  # the method switched off
+    off = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert off[20] == "Story 20 of its own"
 
 
 def test_html_templates(spark):

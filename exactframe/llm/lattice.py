@@ -7,10 +7,14 @@ import numpy as np
 from .shingles import _powers, mix
 
 _U = np.uint64
-#: Bytes of a word up to which words of one length are done together.
+#: Bytes of a word up to which words of one length are done together; longer ones are done one by one, by another recursion with the same result.
 LONG = 48
 #: Words done together.
 TOGETHER = 8192
+#: Places of a long word whose arcs are held at a time.
+SPAN = 1 << 16
+#: What keeps products of many weights away from zero: a factor for each byte, and, in long words, one now and then.
+_LIFT, _STEP_UP = 64.0, 1e100
 _TABLE = np.where(np.arange(256) == 0, _U(1), mix(np.arange(256, dtype=np.uint64) + _U(77)))
 
 
@@ -43,12 +47,12 @@ class Lattice:
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
         self.log = np.log(weights)
+        self.lifted = weights * _LIFT ** np.array([len(p) for p in pieces], float)
         # piece by the first bits of its key: -1 for none, -2 for several
-        self.direct = np.full(1 << 22, -1, np.int32)
-        slots, first, many = np.unique(self.keys >> _U(42), return_index=True, return_counts=True)
+        self.direct = np.full(1 << 20, -1, np.int32)
+        slots, first, many = np.unique(self.keys >> _U(44), return_index=True, return_counts=True)
         self.direct[slots] = np.where(many == 1, self.order[first], -2)
         self.own = keys
-        self.by_text = {p: k for k, p in enumerate(pieces)}
 
     def _key(self, piece: bytes) -> np.uint64:
         b = np.frombuffer(piece, np.uint8)
@@ -56,7 +60,7 @@ class Lattice:
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the keys are pieces, which pieces)."""
-        found = self.direct[keys >> _U(42)]
+        found = self.direct[keys >> _U(44)]
         at = np.flatnonzero(found != -1)
         found, k = found[at].astype(np.int64), keys[at]
         if len(more := np.flatnonzero(found == -2)):
@@ -96,29 +100,94 @@ class Lattice:
         """Natural log of the sum, over all segmentations, of the product of the weights."""
         out = np.zeros(len(words))
         for part, b in self._groups(words):
-            out[part] = self._long(b[0].tobytes()) if b.shape[1] > LONG else self._forward(b, self._arcs(b))[-1]
+            out[part] = self._long_forward(b[0])[-1] if b.shape[1] > LONG else self._forward(b, self._arcs(b))[-1]
         return out
 
-    def _long(self, word: bytes) -> float:
-        """One long word, its states kept for as many bytes back as a piece is long."""
-        alpha = [0.0]
-        for j in range(1, len(word) + 1):
-            terms = [alpha[i] + self.log[k] for i in range(max(0, j - self.longest), j) if (k := self.by_text.get(word[i:j])) is not None]
-            top = max(terms)
-            alpha.append(top + float(np.log(np.exp(np.array(terms) - top).sum())))
-        return alpha[-1]
-
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected count of each piece over the words, each counted once; words longer than LONG are left to the others."""
-        out = np.zeros(len(self.log))
-        for _, b in self._groups([w for w in words if len(w) < LONG]):
-            arcs = list(self._arcs(b))
-            alpha = self._forward(b, arcs)
-            beta = np.full_like(alpha, -np.inf)
-            beta[-1] = 0
-            for i, j, rows, pieces in reversed(arcs):
-                beta[i, rows] = np.logaddexp(beta[i, rows], beta[j, rows] + self.log[pieces])
-            for i, j, rows, pieces in arcs:
-                p = np.exp(alpha[i, rows] + self.log[pieces] + beta[j, rows] - alpha[-1, rows])
-                out += np.bincount(pieces, p, len(out))
-        return out
+    def _span(self, b: np.ndarray, lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The arcs from SPAN places of one long word, by place: (how many begin there, their lengths, their pieces)."""
+        hi = min(lo + SPAN, len(b))
+        values = _TABLE[b[lo : hi + self.longest]]
+        h = np.zeros(hi - lo, np.uint64)
+        found = []
+        for n in range(1, min(self.longest, len(values)) + 1):
+            inside = min(hi - lo, len(values) - n + 1)
+            h = h[:inside] + values[n - 1 : n - 1 + inside] * self.powers[n - 1]
+            rows, pieces = self._find(mix(h + _U(n)))
+            found.append(np.stack([rows, np.full(len(rows), n), pieces]))
+        start, length, piece = np.hstack(found)
+        order = np.argsort(start, kind="stable")
+        return np.bincount(start, minlength=hi - lo), length[order], piece[order]
+
+    def _long_forward(self, b: np.ndarray) -> np.ndarray:
+        """Log-probability of what precedes each place of one word. Only as many states as a piece is long are held beside it."""
+        logs = np.empty(len(b) + 1)
+        w = np.exp(self.log)
+        state, lifts = [1.0] + [0.0] * self.longest, 0
+        for lo in range(0, len(b), SPAN):
+            many, length, piece = self._span(b, lo)
+            here, weight, n = [], w[piece].tolist(), length.tolist()
+            k = 0
+            for m in many.tolist():
+                a = state[0]
+                while a < 1 / _STEP_UP:
+                    state = [x * _STEP_UP for x in state]
+                    a, lifts = state[0], lifts + 1
+                here.append((a, lifts))
+                for k in range(k, k + m):
+                    state[n[k]] += a * weight[k]
+                k += 1 if m else 0
+                state = [*state[1:], 0.0]
+            at = np.array(here)
+            logs[lo : lo + len(here)] = np.log(at[:, 0]) - at[:, 1] * np.log(_STEP_UP)
+        logs[-1] = np.log(state[0]) - lifts * np.log(_STEP_UP) if state[0] > 0 else -np.inf
+        return logs
+
+    def _long_expected(self, b: np.ndarray, out: np.ndarray) -> float:
+        """Adds one word's expected counts to ``out``; the log-probability of the word."""
+        before = self._long_forward(b)
+        total = before[-1]
+        w = np.exp(self.log)
+        state, lifts = [1.0] + [0.0] * self.longest, 0  # of what follows a place and the next ones
+        after = np.empty(len(b) + 1)
+        after[-1] = 0.0
+        for lo in reversed(range(0, len(b), SPAN)):
+            many, length, piece = self._span(b, lo)
+            ends = np.cumsum(many)
+            begin, n, weight = (ends - many).tolist(), length.tolist(), w[piece].tolist()
+            for i in range(len(many) - 1, -1, -1):
+                a = sum(state[n[k] - 1] * weight[k] for k in range(begin[i], begin[i] + int(many[i])))
+                state = [a, *state[:-1]]
+                while 0 < a < 1 / _STEP_UP:
+                    state = [x * _STEP_UP for x in state]
+                    a, lifts = state[0], lifts + 1
+                after[lo + i] = np.log(a) - lifts * np.log(_STEP_UP)
+            start = lo + np.repeat(np.arange(len(many)), many)
+            out += np.bincount(piece, np.exp(before[start] + self.log[piece] + after[start + length] - total), len(out))
+        return float(total)
+
+    def expected(self, words: list[bytes], times: np.ndarray) -> tuple[np.ndarray, float]:
+        """(expected count of each piece over the words, each counted so many times; their log-probability)."""
+        out, total = np.zeros(len(self.log)), 0.0
+        for part, b in self._groups(words):
+            n = times[part]
+            long = np.arange(len(b)) if b.shape[1] > LONG else None
+            if long is None:  # products without logarithms, each byte lifted by a constant
+                arcs = list(self._arcs(b))
+                alpha, beta = np.zeros((2, b.shape[1] + 1, len(b)))
+                alpha[0] = beta[-1] = 1.0
+                for i, j, rows, pieces in arcs:
+                    alpha[j, rows] += alpha[i, rows] * self.lifted[pieces]
+                for i, j, rows, pieces in reversed(arcs):
+                    beta[i, rows] += beta[j, rows] * self.lifted[pieces]
+                all_ = alpha[-1]
+                long = np.flatnonzero(all_ < 1e-250)  # too small for that
+                share = np.where(all_ < 1e-250, 0.0, n / np.maximum(all_, 1e-250))
+                for i, j, rows, pieces in arcs:
+                    out += np.bincount(pieces, alpha[i, rows] * self.lifted[pieces] * beta[j, rows] * share[rows], len(out))
+                fine = all_ >= 1e-250
+                total += float((n[fine] * (np.log(all_[fine]) - b.shape[1] * np.log(_LIFT))).sum())
+            for k in long.tolist():
+                one = np.zeros(len(out))
+                total += n[k] * self._long_expected(b[k], one)
+                out += n[k] * one
+        return out, total

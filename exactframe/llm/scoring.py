@@ -1,18 +1,21 @@
 """Operator 9, language-model scoring: marginal probability over all subword segmentations.
 
-A word's probability has two parts, which are two kinds of arcs of its lattice: the whole word, if it was seen in
-training, with its discounted share of the training words; and every way of spelling it with the pieces of an existing
-vocabulary, whose weights start from that vocabulary's scores and are fitted to the distinct training words by
-expectation-maximization. The mass that the discount frees goes to the second part, so the probabilities of all words
-add up to one. A forward recursion in log space sums over the lattice. A text is its words and one end.
+A text is a row of pieces of an existing vocabulary and then one end; each word begins with a space, and pieces have a
+space at their start only. A word's probability is the sum, over all ways of spelling it with pieces, of the product
+of their weights: a forward recursion in log space over its lattice. A text's is the product over its words and the
+end, so the probabilities of all texts add up to one.
 
-Counts, the number of distinct words and the discount come from all training rows. Words are counted in each task and
-then summed; each distinct word is scored once. The most frequent words, HEAD at most, go to every task; the other
-words of a document are joined by word, so no frequent word is ever a key of that join.
+The weights start from the vocabulary's own scores and are fitted to the training words, each counted as often as it
+occurs, by expectation-maximization: first to the most frequent words, as a start, then to all distinct words until the
+log-probability of a word gains less than TOLERANCE. The end's weight comes from the number of training documents.
+
+Words are counted in each task and then summed; each distinct word is scored once. The most frequent words, HEAD at
+most, go to every task; the other words of a document are joined by word, so no frequent word is ever a key of that
+join. To the driver come one row for each piece of the vocabulary and task of the last sum, and the HEAD words.
 
 Defined results: a null or empty text is an end alone; a null id is not held out; repeated rows are scored each by
-itself and all count in training; without training rows a word has its lattice's probability; an empty table gives an
-empty table. Only two columns are read.
+itself and all count in training; a word of any length counts and is scored whole; without training rows the pieces keep
+their first weights and the end has a half; an empty table gives an empty table. Only two columns are read.
 """
 
 from __future__ import annotations
@@ -32,8 +35,12 @@ from .lattice import Lattice, vocabulary
 
 #: Most words sent to every task.
 HEAD = 100_000
-#: Steps of expectation-maximization.
-STEPS = 2
+#: Fitting ends when a word's log-probability (natural, on average) gains less than this, or after so many steps.
+TOLERANCE, STEPS = 0.01, 20
+#: Tasks that fit the most frequent words.
+FIRST_TASKS = 6
+#: Words fitted together in a task.
+CHUNK = 200_000
 #: Added to each piece's expected count.
 FLOOR = 0.01
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -74,34 +81,65 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([ends], pa.int64())], ["word", "c"])
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _expect(pieces, weights):
+    """(word, c) to (piece, expected count); the log-probability of the words on a row with piece -1."""
+
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces.value, weights)
-        total = np.zeros(len(weights))
-        for batch in batches:
-            total += lattice.expected(batch.column(0).to_pylist())
+        total, lp = np.zeros(len(weights)), 0.0
+        for words in _chunks(batches):
+            n, l = lattice.expected(words.column(0).to_pylist(), words.column(1).to_numpy().astype(float))
+            total, lp = total + n, lp + l
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([lp, *total[at]])], ["piece", "n"])
 
     return expect
 
 
-def _word_scores(pieces, weights, model: dict):
+def _word_scores(pieces, weights):
     """(word, c) to (word, c, natural log of the word's probability)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces.value, weights)
-        for batch in batches:
-            c = batch.column(1).to_numpy()
-            spelled = lattice.log_probability(batch.column(0).to_pylist())
-            with np.errstate(divide="ignore"):
-                whole = np.log(np.maximum(c - model["discount"], 0) / max(model["words"], 1))
-            p = np.logaddexp(np.where(c > 0, whole, -np.inf), np.log(model["free"]) + spelled) + np.log1p(-model["end"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], ["word", "c", "lp"])
+        for words in _chunks(batches):
+            lp = pa.array(lattice.log_probability(words.column(0).to_pylist()))
+            yield from pa.table([words.column(0), words.column(1), lp], ["word", "c", "lp"]).to_batches(10_000)
 
     return score
 
 
+def fit_pieces(words: DataFrame, first: DataFrame, n_words: int, ends: int, pieces, weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights of the pieces, weight of the end), which add up to one. ``words``, and ``first`` among them: (word, c) in training."""
+    weights, end = weights / weights.sum() / 2, 0.5
+    for part, size in ((first, None), (words, n_words)):
+        before = None
+        for _ in range(STEPS if n_words else 0):
+            # a row for each piece of the vocabulary
+            got = part.mapInArrow(_expect(pieces, weights), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+            at, n = got["piece"].to_numpy(), got["n"].to_numpy()
+            total = np.full(len(weights), FLOOR)
+            total[at[at >= 0]] += n[at >= 0]
+            size = size or first.agg(F.sum("c")).first()[0]
+            share = (ends + 1) * size / n_words  # so that a part has its part of the ends
+            weights, end = total / (total.sum() + share), share / (total.sum() + share)
+            now = float(n[at < 0].sum()) / size
+            if before is not None and now - before < TOLERANCE:
+                break
+            before = now
+    return weights, float(end)
+
+
 def _documents(head):
     """For each document a row with the sums over its frequent words, and a row for each of its other words.
 
@@ -143,25 +181,16 @@ def score_documents(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counted = stored(rows.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     words = counted.filter("word is not null")
-    f = words.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("n1"), F.count(F.when(F.col("c") == 2, 1)).alias("n2")
-    ).first()
+    f = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     ends = counted.filter("word is null").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     n, v = f.n + ends, f.v + (ends > 0)
-    discount = f.n1 / (f.n1 + 2 * f.n2) if f.n1 else 0.5
-    model = {"discount": min(discount, 0.99), "words": f.n, "end": (ends + 1) / (n + 2)}
-    model["free"] = model["discount"] * f.v / f.n if f.n else 1.0
 
     pieces, weights = vocabulary(vocabulary_path)
     shared = sc.broadcast(pieces)
-    train = words.filter("c > 0").select("word")
-    for _ in range(STEPS if f.v else 0):
-        got = train.mapInArrow(_expect(shared, weights), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row for each piece of the vocabulary
-        total = np.full(len(pieces), FLOOR)
-        for r in got:
-            total[r.piece] += r.n
-        weights = total / total.sum()
-    scored = stored(words.mapInArrow(_word_scores(shared, weights, model), "word binary, c long, lp double"), "scores")
+    train = words.filter("c > 0")
+    frequent = stored(train.orderBy(F.desc("c"), "word").limit(HEAD).repartition(FIRST_TASKS), "frequent")
+    weights, end = fit_pieces(train, frequent, f.n, ends, shared, weights)
+    scored = stored(words.mapInArrow(_word_scores(shared, weights), "word binary, c long, lp double"), "scores")
 
     base_of = lambda c: np.log10((np.asarray(c, float) + 1) / (n + v + 1))
     top = scored.filter("c > 0").orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
@@ -187,5 +216,5 @@ def score_documents(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id
         (F.col("n_known") + int(ends > 0)).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base") + float(base_of(ends))).alias("base_score"),
-        ((F.col("score") + float(np.log(model["end"]))) / float(np.log(10))).alias("score"),
+        ((F.col("score") + float(np.log(end))) / float(np.log(10))).alias("score"),
     )

@@ -516,13 +516,50 @@ def test_lattice_sums_all_segmentations():
     words_ = [b"a", b"ab", b"aba", b"babab", b"ab" * 20, b"ab" * 40]
     assert np.allclose(lat.log_probability(words_), [math.log(all_ways(b" " + x)) if len(x) < 20 else y for x, y in zip(words_, lat.log_probability(words_), strict=True)])
     assert np.allclose(lat.log_probability([b"ab" * 40])[0], lat._forward(*(lambda b: (b, lat._arcs(b)))(np.frombuffer(b" " + b"ab" * 40, np.uint8)[None]))[-1, 0])
-    n = lat.expected([b"ab"])
+    n, lp = lat.expected([b"ab"], np.array([3.0]))
     z = all_ways(b" ab")
-    assert n[pieces.index(b" ab")] == pytest.approx(0.1 / z) and n.sum() > 1
+    assert n[pieces.index(b" ab")] == pytest.approx(3 * 0.1 / z) and n.sum() > 3 and lp == pytest.approx(3 * math.log(z))
 
 
-def test_scoring(spark):
-    ts = texts(150)
+def test_lattice_long_words(monkeypatch):
+    """Words of 48 bytes and more are scored and fitted as others are: both recursions agree, also over several spans."""
+    pieces, w = lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    lat = lattice.Lattice(pieces, w)
+    words_ = [b"internationalization" * 3, b"https://www.example.com/a/very/long/address?with=some&more=things", "日本語の文章は空白で区切られない".encode() * 2, bytes(range(128, 200))]
+    times = np.array([1.0, 2.0, 3.0, 4.0])
+    for span in (1 << 16, 7):
+        monkeypatch.setattr(lattice, "SPAN", span)
+        monkeypatch.setattr(lattice, "LONG", 48)
+        long, (n, lp) = lat.log_probability(words_), lat.expected(words_, times)
+        monkeypatch.setattr(lattice, "LONG", 1000)
+        short, (m, other) = lat.log_probability(words_), lat.expected(words_, times)
+        assert np.allclose(long, short) and np.allclose(n, m) and lp == pytest.approx(other) == pytest.approx(float((long * times).sum()))
+    monkeypatch.setattr(lattice, "LONG", 48)
+    assert lat.log_probability([b"x" * 200_000])[0] < -1000 and lat.expected([b"xyz" * 50_000], np.ones(1))[0].sum() > 1000
+
+
+def plain_counts(pieces, w, words):
+    """Expected counts of the pieces over (word: times), by the plain recursions."""
+    at, out = {p: k for k, p in enumerate(pieces)}, [0.0] * len(pieces)
+    longest = max(map(len, pieces))
+    for word, times in words.items():
+        s = b" " + word
+        arcs = [(i, j, at[s[i:j]]) for i in range(len(s)) for j in range(i + 1, min(len(s), i + longest) + 1) if s[i:j] in at]
+        f, g = [1.0] + [0.0] * len(s), [0.0] * len(s) + [1.0]
+        for i, j, k in arcs:
+            f[j] += f[i] * w[k]
+        for i, j, k in reversed(arcs):
+            g[i] += g[j] * w[k]
+        for i, j, k in arcs:
+            out[k] += times * f[i] * w[k] * g[j] / f[-1]
+    return out
+
+
+def test_scoring(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "STEPS", 2)
+    monkeypatch.setattr(scoring, "HEAD", 200)
+    monkeypatch.setattr(scoring, "TOLERANCE", -1e9)
+    ts = [*texts(60), "long " + "abcdefghij" * 8 + " words"]
     df = docs(spark, ts).unionByName(spark.createDataFrame([(None, "a b", None, None), (3, ts[3], None, None)], DOC)).withColumn("word", F.lit("clash")).withColumn("row", F.lit("clash"))
     got = scoring.score_documents(df, public_tokenizers.path("piece_bpe_32k.model")).collect()
     assert len(got) == len(ts) + 2
@@ -533,11 +570,24 @@ def test_scoring(spark):
         if k is None or not held(k):
             c.update(tok(t))
     n, v = sum(c.values()), len(c)
+    # the same fit in plain Python: every segmentation's share, again and again
+    pieces, w = lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    w, ends = w / 2, c.pop(None)
+    frequent = dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:200])
+    for part in (frequent, c):
+        for _ in range(2):
+            count, size = plain_counts(pieces, w, part), sum(part.values())
+            share = (ends + 1) * size / sum(c.values())
+            whole = sum(count) + 0.01 * len(pieces) + share
+            w, end = np.array([(x + 0.01) / whole for x in count]), share / whole
+    c[None] = ends
+    assert w.sum() + end == pytest.approx(1)
+    lat = lattice.Lattice(pieces, w)
     for r in got:
         t = ts[r.doc_id] if r.doc_id is not None else "a b"
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tok(t)), sum(c[x] > 0 for x in tok(t)), n, r.doc_id is not None and held(r.doc_id))
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tok(t)))
-        assert -1e7 < r.score < 0
+        assert r.score == pytest.approx((sum(float(lat.log_probability([x])[0]) for x in tok(t) if x) + math.log(end)) / math.log(10))
     assert scoring.score_documents(df.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 

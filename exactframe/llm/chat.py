@@ -7,9 +7,9 @@ pieces are concatenated. A message is ``<|im_start|>role\\n text <|im_end|>\\n``
 Control strings inside roles and texts are escaped reversibly: every ``<|`` gets a second bar, so no control string
 (none of which has two) can appear in an escaped text, and taking the second bar away gives the text again.
 
-Defined results: null roles and texts count as empty; null conversation ids form one conversation; turns sort by
+Defined results: null roles and texts count as empty; a row without a conversation id is a conversation by itself; turns sort by
 number (null first), then role, then text, so ties and repeated rows give the same result in any order; a text or
-role may be empty or very long (a conversation is one value, so it must fit into one row); an empty table gives an
+role may be empty or very long (a conversation is one value, so it must fit into one row, which is 2 GB); an empty table gives an
 empty table. Only the four named columns are read, and the output has names of its own.
 """
 
@@ -51,7 +51,8 @@ def format_chat(
     one = F.struct(
         F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    got = rows.groupBy(F.col(conv)).agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    got = rows.filter(F.col(conv).isNotNull()).groupBy(F.col(conv)).agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    got = got.unionByName(rows.filter(F.col(conv).isNull()).select(F.col(conv), F.array(one).alias("turns")))
 
     def segments(turns: Column) -> Column:
         before = F.concat(F.array(F.lit(None).cast("string")), F.transform(turns, lambda t: t["role"]))

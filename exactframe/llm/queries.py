@@ -83,6 +83,20 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_pack_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as training examples, none cut that fits: only the assistant's texts bear loss."""
+    import public_tokenizers
+
+    from .chat import format_chat
+    from .common import stored
+    from .packing import Limits, pack_documents
+
+    limits = Limits(tokens=2048, segments=16, loss=1024)
+    chats = stored(format_chat(table(spark, sf_dir, "conversations")).select("conv_id", "segments"), "chats")
+    pieces = pack_documents(chats, public_tokenizers.path("word_bpe_49k.json"), limits=limits, doc_id="conv_id", parts="segments", cut=False)
+    return pieces.select(F.col("doc_id").alias("conv_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chat, read_loss, read_turns
 
@@ -98,7 +112,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_html": op2_html, "op3_urls": op3_urls, "op4_langid": op4_langid, "op4_langid_pages": op4_langid_pages, "op5_vectors": op5_vectors, "op6_mix": op6_mix, "op7_pack": op7_pack, "op8_chat": op8_chat, "op9_lm": op9_lm, "op10_quality": op10_quality}
+QUERIES = {"op1_minhash": op1_minhash, "op2_html": op2_html, "op3_urls": op3_urls, "op4_langid": op4_langid, "op4_langid_pages": op4_langid_pages, "op5_vectors": op5_vectors, "op6_mix": op6_mix, "op7_pack": op7_pack, "op7_pack_chats": op7_pack_chats, "op8_chat": op8_chat, "op9_lm": op9_lm, "op10_quality": op10_quality}
 def _quality_sql() -> str:
     from .quality import BOILERPLATE, MARK, NAVIGATION, SYMBOL
 

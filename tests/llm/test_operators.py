@@ -331,37 +331,63 @@ def test_langid_pages_query(spark):
 
 
 # --- 5 ---
-def test_vectors(spark):
+def exact_links(v):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T >= 0.9
+    np.fill_diagonal(s, False)
+    return s
+
+
+def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((300, 16))
     near = base[:60] + 0.15 * rng.standard_normal((60, 16))
     hot = base[0] + 0.02 * rng.standard_normal((80, 16))
     v = np.vstack([base, near, hot, base[:5]]).astype(np.float32).astype(float)
-    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [1.0]), (905, [None] * 16), (None, [1.0] * 16)]
+    rows = [(k - 200, x.tolist()) for k, x in enumerate(v)]
+    rows += [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [1.0]), (905, [None] * 16), (None, [1.0] * 16), (906, [2.0, 1.0]), (907, [4.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("id", F.lit(1))
-    got = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    s = u @ u.T >= 0.9
-    np.fill_diagonal(s, False)
+    s = exact_links(v)
     want = union_find(range(len(v)), list(zip(*np.nonzero(s), strict=True)))
     links = s.sum(1)
-    assert sum(got[k].n_links for k in range(len(v))) >= 0.98 * links.sum() and all(got[k].n_links <= links[k] for k in range(len(v)))
-    assert np.mean([got[k].component_id == want[k] for k in range(len(v))]) > 0.98
-    for k in (900, 901, 902, 903, 904, 905):
-        assert (got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True)
-    assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, True)
+    for block, crowded in ((2048, 4096), (16, 4096), (16, 20)):  # one block, several blocks, crowds
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        monkeypatch.setattr(vectors, "CROWDED", crowded)
+        got = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
+        assert sum(got[k - 200].n_links for k in range(len(v))) >= 0.98 * links.sum() and all(got[k - 200].n_links <= links[k] for k in range(len(v)))
+        assert np.mean([got[k - 200].component_id == want[k] - 200 for k in range(len(v))]) > 0.98
+        assert all(got[k - 200].n_links >= 79 for k in range(360, 440))
+        for k in (900, 901, 902, 903, 904, 905):
+            assert (got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True)
+        assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, True)
+        assert [(got[k].n_links, got[k].component_id) for k in (906, 907)] == [(1, 906), (1, 906)]
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_recall(spark):
+    """Ten thousand vectors against brute force; and what is computed grows with the vectors, not with their pairs."""
+    df = table(spark, "/root/testdata/sf0.1", "embeddings").limit(10_000).cache()
+    rows = sorted(df.collect(), key=lambda r: r.vec_id)
+    s = exact_links(np.array([r.embedding for r in rows], float))
+    got = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
+    n = np.array([got[r.vec_id].n_links for r in rows])
+    assert (n <= s.sum(1)).all() and n.sum() >= 0.99 * s.sum()
+    want = union_find(range(len(rows)), list(zip(*np.nonzero(s), strict=True)))
+    assert np.mean([got[r.vec_id].component_id == rows[want[k]].vec_id for k, r in enumerate(rows)]) >= 0.99
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     u = vectors.unit_vectors(rng.standard_normal((400, 64)))
     code, factor, whole, step = vectors.codes(u)
-    got, sd, rounding = vectors.estimated(code, factor, whole, step)
+    rounded = whole * step[:, None]
+    got, sd = vectors.estimated(code, factor, rounded.astype(np.float32))
     off = ~np.eye(400, dtype=bool)
     gap = (got - u @ u.T)[off]
     assert abs(gap.mean()) < 0.005
-    assert (np.abs(gap) <= (4 * sd + rounding + np.zeros_like(got))[off]).mean() > 0.999
+    near = vectors.rounding(step, 64)
+    assert (np.abs(gap) <= (4 * sd + near + np.zeros_like(got))[off]).mean() > 0.999
+    assert (np.abs(rounded @ rounded.T - u @ u.T) <= near[:, None] + 1.01 * near).all()
 
 
 # --- 6 ---

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,32 +16,55 @@ DOC = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others keep the lines that passed."""
+    """Rejected documents go; the others keep the lines that passed.
+
+    A null or empty text has too few words and goes. Ids, languages and sources are not looked at, so nulls in them stay;
+    each of repeated rows, and each row of a shared id, is judged by itself. Columns beyond those of ``documents`` go,
+    here and in every stage; an empty table gives an empty table, here and in every stage.
+    """
     q = passed(docs, out="_q")
     return q.withColumn("text", F.col("_q.clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*DOC)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that is known go; the others carry the language found."""
+    """Documents without a language that is known go; the others carry the language found.
+
+    The trigram model is fitted on the rows that declare a language; without any, no language is known and all go. A null
+    language or source is a value like others; a null or empty text goes; repeated rows get the same language.
+    """
     done = identify(docs, host="source", out="_l").filter("_l.kept")
     return done.withColumn("lang", F.col("_l.lang")).select(*DOC)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least id."""
+    """One document of each group stays, the one with the least id.
+
+    Rows that share an id are one document: of those that differ the least stays, by text, then by the other columns (null
+    first). Rows without an id belong to no group and all stay, as do documents with a null or empty text.
+    """
     kept = near_duplicates(docs, percent=80).filter("kept").select("doc_id").distinct()
-    told = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOC)
-    return told.unionByName(docs.filter("doc_id is null").select(*DOC))  # without an id there is no group
+    row = F.struct("text", "lang", "source", "n_chars")
+    told = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*").select(*DOC)
+    return told.unionByName(docs.filter("doc_id is null").select(*DOC))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass over a source that takes words of a document."""
+    """A row for each pass over a source that takes words of a document.
+
+    A document that is not drawn has no row, one drawn several times has several, with its id; documents without words are
+    never drawn. A null source is a source of its own; null ids and repeated rows are rows like others.
+    """
     mixed = mixed_texts(mix_sources(docs), docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*DOC)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: a row for each piece of a document."""
+    """Sequences of at most 2048 tokens: a row for each piece of a document.
+
+    A null or empty text is the end mark alone; a null id stays null; each of repeated rows is packed by itself.
+    """
+    import public_tokenizers
+
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -52,8 +74,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result but the last is written to the shared folder and read again.
+
+    What a stage has written goes when the next one's result is written, and so do the tables that its operator wrote for
+    itself; what the last stage reads stays for the caller.
+    """
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), "stage")
+        with common.scratch():
+            docs = common.stored(stage(spark, docs, sf_dir), "stage")
+        if before is not None:
+            common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

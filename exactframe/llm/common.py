@@ -5,6 +5,9 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
         return at
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    warnings.warn("spark.checkpoint.dir is not set: intermediate tables go to a temporary folder of this machine", stacklevel=2)
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="exactframe-"))
     return sc.getCheckpointDir()
 
 
+#: For each open ``scratch``, what was stored in it.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """At its end all tables are deleted that were stored inside it, but the last one, its result."""
+    mine: list[DataFrame] = []
+    _SCRATCH.append(mine)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(mine)
+        for df in mine[:-1]:
+            discard(df)
+
+
 def stored(df: DataFrame, label: str = "t") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lost executors cost a reread, no recomputation."""
     spark = df.sparkSession
@@ -43,6 +64,8 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(back)
     return back
 
 

@@ -8,14 +8,18 @@ text falls into borrows the register of another, found in an order that is its o
 
 Equal sets are one class from the start and are never compared. In a bucket of equal bands, everyone is first
 compared with the least member only. Links found so make components; only where a bucket still holds documents of
-different components are documents compared again: all that share a least member, in blocks, on their full sets,
-and only across components. So the edges that matter are complete, and groups of copies cost one comparison a member.
+different components are documents compared again, only across components: all that share a least member, in blocks,
+first by their registers, and those for which the estimate leaves a link possible on their full sets. So the edges that
+matter are complete, and groups of copies cost one comparison a member. What a block gives is the components of its own
+links, at most one row a document.
 
 Sizes: a shuffle of the texts of candidate documents, and of 16 bytes for each band and class. Nothing is collected.
+The worst case is a group of very many documents that share a bucket but are less alike than the threshold: blocks are
+compared two by two, so registers (and sets, where the estimate cannot tell) are repeated once for each block of it.
 
 Defined results: a null or empty text has no shingles, size 0, and is linked with nothing; a row whose id is null is
 linked with nothing, its component is null and it is kept; rows with one id and one text are one document; rows that
-share an id but differ in text count as linked. An empty table gives an empty table. Only two columns are read.
+share an id but differ in text count as linked, and whatever links to one of them links to the id. An empty table gives an empty table. Only two columns are read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import paired_blocks, runs
+from .blocks import forest, paired_blocks, runs
 from .common import stored
 from .graph import components
 from .shingles import grouped, mix, shingle_sets, tidy
@@ -115,15 +119,24 @@ def _likely(percent: int, deviations: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(-1, REGISTERS) for c in (4, 5))
+            a, b = (_registers(batch.column(c)) for c in (4, 5))
             n, m = (batch.column(c).to_numpy() for c in (2, 3))
-            own = REGISTERS * (1 - (1 - 1 / REGISTERS) ** np.maximum(n, m))  # registers that need not borrow, about
-            margin = deviations * np.sqrt(t * (1 - t) / np.maximum(own, 1))
-            yield batch.select([0, 1]).filter(pa.array((own < 48) | (estimate(a, b, n, m) + margin >= t)))
+            yield batch.select([0, 1]).filter(pa.array(_possible(a, b, n, m, t, deviations)))
 
     return keep
 
 
+def _registers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, REGISTERS)
+
+
+def _possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, t: float, deviations: float) -> np.ndarray:
+    """Whether sets of n and m elements with registers a and b may be as similar as t, by sizes and the estimate."""
+    own = REGISTERS * (1 - (1 - 1 / REGISTERS) ** np.maximum(n, m))  # registers that need not borrow, about
+    margin = deviations * np.sqrt(t * (1 - t) / np.maximum(own, 1))
+    return (np.minimum(n, m) >= np.maximum(n, m) * (t - 1e-9)) & ((own < 48) | (estimate(a, b, n, m) + margin >= t))
+
+
 def _bands(reps: DataFrame) -> DataFrame:
     """(key, id): a hash for each band of registers."""
     part = F.substring(F.col("registers"), F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))
@@ -131,8 +144,29 @@ def _bands(reps: DataFrame) -> DataFrame:
     return each.select(F.xxhash64("band", part).alias("key"), "id")
 
 
+def _open_rows(percent: int, deviations: float):
+    """Of the tasks (hub, i, j): the rows for which the estimate leaves a link with a document of another part possible."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, ("hub", "i", "j")):
+            i, j = run.column("i")[0].as_py(), run.column("j")[0].as_py()
+            part, block, n = (run.column(c).to_numpy() for c in ("part", "block", "n"))
+            regs = _registers(run.column("registers"))
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            some = np.zeros(len(part), bool)
+            for k in left.tolist():
+                other = right[part[right] != part[k]]
+                near = other[_possible(regs[k][None, :], regs[other], n[k], n[other], percent / 100, deviations)] if len(other) else other
+                if len(near):
+                    some[near] = some[k] = True
+            if some.any():
+                yield from run.drop_columns(["n", "registers"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+    return scan
+
+
 def _across(percent: int):
-    """Of the tasks (hub, i, j) with rows (part, block, id, shingles): links between documents of different parts."""
+    """Of the tasks (hub, i, j) with rows (part, block, id, shingles): (a, b), a reaching b by links between documents of different parts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, ("hub", "i", "j")):
@@ -157,11 +191,13 @@ def _across(percent: int):
                 n = hi - lo
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 common = np.bincount(owner[at], minlength=len(right))
-                for r in np.flatnonzero(near & (common * 100 >= (sizes[right] + sizes[k] - common) * percent)).tolist():
-                    a.append(min(ids[k], ids[right[r]]))
-                    b.append(max(ids[k], ids[right[r]]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                found = np.flatnonzero(near & (common * 100 >= (sizes[right] + sizes[k] - common) * percent))
+                a.append(np.full(len(found), k))
+                b.append(right[found])
+            if a and sum(map(len, a)):
+                least = ids[forest(len(ids), np.concatenate(a), np.concatenate(b))]
+                at = np.flatnonzero(least != ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(least[at])], ["a", "b"])
 
     return scan
 
@@ -191,8 +227,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     told = members.filter("id != hub").join(group, "id", "left").select("key", "hub", "id", part.alias("part"))
     open_ = told.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
     left = stored(told.join(open_, "key").select("hub", "id", "part").distinct(), "open")
-    tasks = paired_blocks(left, "hub", BLOCK).join(sets, "id")
-    tasks = tasks.select("hub", "i", "j", "block", "part", "id", "shingles").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    by = ("hub", "i", "j")
+    tasks = paired_blocks(left, "hub", BLOCK).join(reps, "id").select(*by, "block", "part", "id", "n", "registers")
+    possible = tasks.repartition(*by).sortWithinPartitions(*by).mapInArrow(_open_rows(percent, deviations), "hub long, i int, j int, block int, part long, id long")
+    tasks = stored(possible.distinct(), "possible").join(sets, "id").select(*by, "block", "part", "id", "shingles").repartition(*by).sortWithinPartitions(*by)
     more = stored(tasks.mapInArrow(_across(percent), "a long, b long").distinct(), "links")
     merged = components(links.unionByName(more))
 
@@ -211,8 +249,8 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, deviations: floa
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents with these ids."""
-    texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """(id, shingles) of the documents with these ids: several where rows with one id differ in text."""
+    texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").withColumn("hash", F.xxhash64("text")).dropDuplicates(["doc_id", "hash"]).select("doc_id", "text")
     return stored(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
 
 

@@ -100,10 +100,17 @@ def test_minhash_odd_rows(spark):
     got = sorted(minhash.near_duplicates(rows).collect(), key=str)
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == [("1", 1, "1", True), ("1", 1, "1", True), ("2", 1, "1", False), ("3", 0, "3", True), ("None", 1, "None", True)]
     assert minhash.near_duplicates(rows.limit(0)).count() == 0
+    long = [" ".join(f"{c}{k}" for k in range(60)) for c in "pqr"]
+    shared = spark.createDataFrame([(7, long[0]), (7, long[1]), (8, long[0] + " x"), (9, long[1] + " y"), (10, long[2])], "doc_id long, text string")
+    for _ in range(3):  # whichever text is seen first
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(shared.orderBy(F.rand())).collect()}
+        assert got == {7: 7, 8: 7, 9: 7, 10: 10}
 
 
-def test_minhash_opens_buckets(spark):
+@pytest.mark.parametrize("block", [512, 16])
+def test_minhash_opens_buckets(spark, monkeypatch, block):
     """Copies of one text at many distances: links that no star through the least member shows must be found."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(5)
     base = [f"w{rng.randrange(9999)}" for _ in range(120)]
     ts = []

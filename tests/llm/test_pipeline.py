@@ -2,7 +2,6 @@
 
 import collections
 import re
-import zlib
 
 import numpy as np
 import pytest
@@ -116,13 +115,60 @@ def test_packing_stage(stages):
     for r in stages[4]:
         want[r.doc_id] += len(t.encode(r.text, add_special_tokens=False).ids) + 1
     got = collections.Counter()
-    used = collections.Counter()
+    used, ids = collections.Counter(), collections.defaultdict(list)
     for r in stages[5]:
         got[r.doc_id] += r.length
         used[r.sequence_id] += r.length
-        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) >= 0
+        ids[r.doc_id].append(np.frombuffer(r.ids, "<u4"))
+        assert len(r.ids) == 4 * r.length
+    for k, pieces in ids.items():
+        expected = collections.Counter(i for r in stages[4] if r.doc_id == k for i in [*t.encode(r.text, add_special_tokens=False).ids, 1])
+        assert collections.Counter(np.concatenate(pieces).tolist()) == expected
     assert got == want and max(used.values()) <= 2048
 
 
 def test_run_is_the_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == len(stages[-1])
+
+
+LONG = " ".join(f"word{k}" for k in range(60)) + "."
+ODD = [
+    (1, LONG, "en", "a", 5), (1, LONG, "en", "a", 5), (2, LONG + " And more of it.", "en", None, None), (3, None, "en", "a", None), (4, "", None, "a", 0),
+    (None, LONG, "en", "a", 1), (None, LONG, "en", "a", 1), (5, "Other " + LONG.replace("word", "term"), None, "b", 1), (5, "Another " + LONG.replace("word", "name"), "en", "b", 1),
+    (6, "long " + " ".join(f"unit{k}" for k in range(40_000)), "en", "b", 1), (7, " \n\t ", "en", "b", 1),
+]
+
+
+def odd_table(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return spark.createDataFrame(ODD, schema).selectExpr("*", "'x' as id", "1 as component_id", "'y' as kept", "array(1) as q", "2 as size")
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_with_odd_rows(spark, k):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, rows of one id, clashing columns, and no rows."""
+    df = odd_table(spark)
+    name, stage = corpus_pipeline.STAGES[k]
+    rows = stage(spark, df, SF).collect()
+    ids = sorted((r.doc_id for r in rows), key=str)
+    if k < 4:
+        assert tuple(rows[0].asDict()) == corpus_pipeline.DOC
+    if name == "quality rules":
+        assert ids == [1, 1, 2, 5, 5, 6, None, None]
+    elif name == "language ID":
+        assert set(ids) <= {1, 2, 5, 6, None} and {1, 2, 6} <= set(ids) and {r.lang for r in rows} == {"en"}
+    elif name == "MinHash near-dedup":
+        assert ids == [1, 3, 4, 5, 6, 7, None, None]  # 2 is a near copy of 1
+        assert next(r for r in rows if r.doc_id == 5).text.startswith("Another")
+    elif name == "mixing":
+        assert set(ids) <= {1, 2, 5, 6, None} and all(r.n_chars == len(r.text) > 0 for r in rows)
+    else:
+        assert set(ids) == {1, 2, 3, 4, 5, 6, 7, None} and [r.length for r in rows if r.doc_id in (3, 4, 7)] == [1, 1, 1]
+        assert sum(r.length for r in rows if r.doc_id == 1) == 2 * next(r.doc_tokens for r in rows if r.doc_id == 1)
+    assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len([x for x in tmp_path.iterdir() if x.name.startswith("exactframe-")]) == 1

@@ -11,15 +11,15 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 
 from . import types as t
-from .expr import lit, null, parameter
+from .expr import bind_value, call, lit, null, parameter
 from .functions import SemanticFunction
-from .model import Model, ModelBuilder
+from .model import Model, ModelBuilder, present
 from .operators.evaluation import evaluate_binary, evaluate_regression
 from .operators.vector import exact_search
 from .operators.writes import delete, update
 from .plans import pipeline as p
 from .plans.pipeline import Pipeline, Rows
-from .session import Engine, unreferenced
+from .session import Engine, repeated, unreferenced
 from .sources import parquet
 
 KEY = replace(t.U64, stored="long")
@@ -44,6 +44,7 @@ LINEITEM = (
     .field("l_extendedprice", MONEY).field("l_discount", t.F64).field("l_returnflag", t.STRING).field("l_linestatus", t.STRING).field("l_shipdate", t.LOCAL).freeze()
 )
 EVENTS = ModelBuilder("app/events").field("event_id", KEY).field("at", t.INSTANT, "ts").field("user_id", KEY).field("event_type", t.STRING).field("value", t.F64).identity("event_id").freeze()
+LOCAL_EVENTS = ModelBuilder("app/local_events").field("event_id", KEY).field("ts", t.LOCAL).identity("event_id").freeze()
 DOCUMENTS = ModelBuilder("text/documents").field("doc_id", t.I64).field("text", t.STRING).field("lang", t.STRING).identity("doc_id").freeze()
 EMBEDDINGS = ModelBuilder("text/embeddings").field("vec_id", KEY).field("embedding", t.list_of(t.F32)).field("label", t.I32).identity("vec_id").freeze()
 LABELS = ModelBuilder("text/labels").field("doc_id", t.I64).field("quality", t.I32).field("toxic", t.I32).freeze()
@@ -61,7 +62,7 @@ def engine(spark: SparkSession, sf_dir: str, *models: Model) -> Engine:
     spark.conf.set("spark.sql.ansi.enabled", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = Engine(spark)
-    for name, m in FILES.items():
+    for name, m in [*FILES.items(), ("events", LOCAL_EVENTS)]:
         if not models or m in models:
             e.bind(m, parquet.read(spark, f"{sf_dir}/{name}.parquet", m, stored_as=STORED_AS))
     return e
@@ -101,6 +102,9 @@ def query(sql: str | None, *models: Model):
     return register
 
 
+#: A customer's segment, of which some are missing and some null.
+SEGMENTS = ModelBuilder("tpch/segments").field("c_custkey", KEY).optional_field("c_mktsegment", t.STRING.nullable()).field("c_name", t.STRING.nullable()).identity("c_custkey").freeze()
+
 C, O, L, N, R, S, P, E, D, V = CUSTOMER, ORDERS, LINEITEM, NATION, REGION, SUPPLIER, PART, EVENTS, DOCUMENTS, EMBEDDINGS
 
 
@@ -171,6 +175,19 @@ def decimal_arithmetic():
     return src(O).select({"o_orderkey": O["o_orderkey"], "gross": O["o_totalprice"] * lit(decimal.Decimal("1.10"), t.decimal(3, 2))})
 
 
+# whole numbers of cents, and rounding by whole numbers: SQL's own division of decimals is by doubles
+@query(
+    "WITH c AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS HUGEINT) AS n FROM orders), "
+    "q AS (SELECT o_orderkey, (2 * n * 1000000000000000000::HUGEINT + 700) // 1400 AS q FROM c) "
+    "SELECT o_orderkey, CAST(CAST(q // 1000000000000000000::HUGEINT AS VARCHAR) || '.' || lpad(CAST(q % 1000000000000000000::HUGEINT AS VARCHAR), 18, '0') AS DECIMAL(38,18)) AS share FROM q",
+    O,
+)
+def decimal_division():
+    import decimal
+
+    return src(O).select({"o_orderkey": O["o_orderkey"], "share": O["o_totalprice"] / lit(decimal.Decimal("7.00"), t.decimal(3, 2))})
+
+
 @query("SELECT p_partkey, p_retailprice < 1000 AS lt, p_retailprice >= 1500.5 AS ge, p_retailprice <> 900 AS ne FROM part", P)
 def float_compare():
     x = P["p_retailprice"]
@@ -223,6 +240,55 @@ def coalesce():
     )
 
 
+def _segments(e: Engine) -> Pipeline:
+    """Missing where the nation is divisible by three, else null where it is divisible by four."""
+    df = e.table(C).selectExpr(
+        "c_custkey", "CASE WHEN c_nationkey % 3 <> 0 AND c_nationkey % 4 <> 0 THEN c_mktsegment END AS c_mktsegment", f"c_nationkey % 3 <> 0 AS `{present('c_mktsegment')}`",
+        "CASE WHEN c_nationkey % 5 <> 0 THEN c_name END AS c_name",
+    )
+    e.bind(SEGMENTS, df)
+    return src(SEGMENTS)
+
+
+_SEGMENTS_SQL = """(SELECT c_custkey, CASE WHEN c_nationkey % 3 <> 0 AND c_nationkey % 4 <> 0 THEN c_mktsegment END AS seg, c_nationkey % 3 = 0 AS gone,
+CASE WHEN c_nationkey % 5 <> 0 THEN c_name END AS name FROM customer)"""
+
+
+@query(f"SELECT c_custkey, gone AS m, NOT gone AS p, seg IS NULL AND NOT gone AS z FROM {_SEGMENTS_SQL}", C)
+def missing_and_null(e: Engine):
+    x = SEGMENTS["c_mktsegment"]
+    return e.execute(_segments(e).select({"c_custkey": SEGMENTS["c_custkey"], "m": x.is_missing(), "p": x.is_present(), "z": x.is_null()}))
+
+
+@query(f"SELECT c_custkey, coalesce(seg, name) AS v FROM {_SEGMENTS_SQL} WHERE NOT gone", C)
+def coalesce_nullable(e: Engine):
+    x = SEGMENTS["c_mktsegment"]
+    return e.execute(_segments(e).filter(x.is_present()).select({"c_custkey": SEGMENTS["c_custkey"], "v": x.coalesce_nullable(SEGMENTS["c_name"])}))
+
+
+class _Priority:
+    """A foreign class, bound to the names that the table has."""
+
+    type = t.STRING
+
+    @staticmethod
+    def encode(value: int) -> str:
+        return {1: "1-URGENT", 2: "2-HIGH"}[value]
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'", O)
+def bound_value():
+    return src(O).filter(O["o_orderpriority"].eq(bind_value(_Priority, 1))).select({"o_orderkey": O["o_orderkey"]})
+
+
+_SCALED = SemanticFunction("example.org/scaled", 1, (t.I32, t.F64), t.F64, lambda a, b: a * b)
+
+
+@query("SELECT p_partkey, p_size * p_retailprice AS scaled FROM part", P)
+def custom_function_of_two():
+    return src(P).select({"p_partkey": P["p_partkey"], "scaled": call(_SCALED, P["p_size"], P["p_retailprice"])})
+
+
 @query("SELECT r_regionkey, CAST(NULL AS VARCHAR) AS nothing, TRUE AS yes, 7 AS seven FROM region", R)
 def literals():
     return src(R).select({"r_regionkey": R["r_regionkey"], "nothing": null(t.STRING), "yes": lit(True, t.BOOL), "seven": lit(7, t.I32)})
@@ -239,8 +305,6 @@ _TWICE = SemanticFunction("example.org/twice", 1, (t.I32,), t.I32, lambda c: c *
 
 @query("SELECT p_partkey, p_size * 2 AS twice FROM part", P)
 def custom_function():
-    from .expr import call
-
     return src(P).select({"p_partkey": P["p_partkey"], "twice": call(_TWICE, P["p_size"])})
 
 
@@ -275,6 +339,18 @@ def date_parts():
     return src(O).select({"o_orderkey": O["o_orderkey"], "y": d.year(), "m": d.month(), "d": d.day(), "o": d.ordinal(), "w": d.weekday()})
 
 
+@query("SELECT event_id, (epoch_us(ts) % 86400000000) * 1000 AS clock FROM events", LOCAL_EVENTS)
+def clock_time():
+    return src(LOCAL_EVENTS).select({"event_id": LOCAL_EVENTS["event_id"], "clock": LOCAL_EVENTS["ts"].time()})
+
+
+@query("SELECT user_id, event_id, CAST(trunc(event_id * 1.5) AS BIGINT) AS s FROM events", E)
+def whole_seconds(e: Engine):
+    """Durations of a second and a half for each event number, cut to whole seconds."""
+    d = SemanticFunction("example.org/sesquiseconds", 1, (KEY,), t.DURATION, lambda c: c * 1_500_000_000)
+    return src(E).select({"user_id": E["user_id"], "event_id": E["event_id"], "s": call(d, E["event_id"]).whole_seconds()})
+
+
 @query(
     "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events", E
 )
@@ -307,12 +383,10 @@ def right_join():
     return _FEW.right_join(src(C), O["o_custkey"].eq(C["c_custkey"])).select({"c": C["c_custkey"], "o": O["o_orderkey"].nullable()})
 
 
-@query(
-    "SELECT x.c_custkey AS c, y.s_suppkey AS s FROM (SELECT * FROM customer WHERE c_custkey < 300) x FULL JOIN (SELECT * FROM supplier WHERE s_suppkey > 20) y ON c_custkey = s_suppkey", C, S
-)
+@query("SELECT c_custkey AS c, s_suppkey AS s FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 2 AND c_nationkey < s_nationkey", C, S)
 def full_join():
-    a, b = src(C).filter(C["c_custkey"].lt(300)), src(S).filter(S["s_suppkey"].gt(20))
-    return a.full_join(b, C["c_custkey"].eq(S["s_suppkey"])).select({"c": C["c_custkey"].nullable(), "s": S["s_suppkey"].nullable()})
+    on = C["c_custkey"].eq(S["s_suppkey"] * 2) & C["c_nationkey"].lt(S["s_nationkey"])  # leaves rows without a partner on both sides
+    return src(C).full_join(src(S), on).select({"c": C["c_custkey"].nullable(), "s": S["s_suppkey"].nullable()})
 
 
 @query('SELECT n_name AS "_1", r_name AS "_2" FROM nation CROSS JOIN region', N, R)
@@ -332,6 +406,14 @@ def self_join():
     return Pipeline.from_model_as(N, "a").join(Pipeline.from_model_as(N, "b"), on).select((a("n_name"), b("n_name")))
 
 
+@query('SELECT x.r_regionkey AS "x.r_regionkey", x.r_name AS "x.r_name", y.r_regionkey AS "y.r_regionkey", y.r_name AS "y.r_name" FROM region x CROSS JOIN region y', R)
+def aliases_apart(e: Engine):
+    """Two plans of one engine that differ in their aliases only."""
+    pair = lambda a, b: Pipeline.from_model_as(R, a).cross_join(Pipeline.from_model_as(R, b))
+    assert e.execute(pair("a", "b")).columns[0] == "a.r_regionkey"
+    return e.execute(pair("x", "y"))
+
+
 @query("SELECT r_name, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", O, C, N, R)
 def join_tree():
     j = src(O).join(src(C), O["o_custkey"].eq(C["c_custkey"])).join(src(N), C["c_nationkey"].eq(N["n_nationkey"])).join(src(R), N["n_regionkey"].eq(R["r_regionkey"]))
@@ -429,12 +511,12 @@ def except_():
 
 # --- windows ----------------------------------------------------------------------------------------------------------
 def _win(w):
-    return src(O).filter(O["o_custkey"].lt(200)).window(w)
+    return src(O).window(w)
 
 
 def _win_sql(f: str) -> str:
     names = ", ".join(f'{"o_totalprice::DECIMAL(18,2)" if f_.name == "o_totalprice" else f_.name} AS "orders.{f_.name}"' for f_ in O.fields)
-    return f"SELECT {names}, {f} AS w FROM orders WHERE o_custkey < 200"
+    return f"SELECT {names}, {f} AS w FROM orders"
 
 
 @query(_win_sql("row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)"), O)
@@ -467,45 +549,15 @@ def window_sum_around():
     return _win(p.window_sum(O["o_totalprice"]).partition_by(O["o_custkey"]).order_by(O["o_orderkey"]).frame(Rows.around(2)))
 
 
-# the same over all orders: a window of each customer
-def _whole(w):
-    return src(O).window(w)
-
-
-def _whole_sql(f: str) -> str:
-    names = ", ".join(f'{"o_totalprice::DECIMAL(18,2)" if f_.name == "o_totalprice" else f_.name} AS "orders.{f_.name}"' for f_ in O.fields)
-    return f"SELECT {names}, {f} AS w FROM orders"
-
-
-@query(_whole_sql("row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)"), O)
-def row_number_whole():
-    return _whole(p.row_number().partition_by(O["o_custkey"]).order_by_desc(O["o_orderdate"]).order_by(O["o_orderkey"]))
-
-
-@query(_whole_sql("rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority)"), O)
-def rank_whole():
-    return _whole(p.rank().partition_by(O["o_custkey"]).order_by(O["o_orderpriority"]))
-
-
-@query(_whole_sql("dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC)"), O)
-def dense_rank_whole():
-    return _whole(p.dense_rank().partition_by(O["o_custkey"]).order_by_desc(O["o_orderpriority"]))
-
-
-@query(_whole_sql("CAST(sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey) AS DECIMAL(18,2))"), O)
-def window_sum_all_whole():
-    return _whole(p.window_sum(O["o_totalprice"]).partition_by(O["o_custkey"]).frame(Rows.all()))
-
-
-@query(_whole_sql("CAST(sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2))"), O)
-def window_sum_running_whole():
-    return _whole(p.window_sum(O["o_totalprice"]).partition_by(O["o_custkey"]).order_by(O["o_orderkey"]).frame(Rows.to_current()))
-
-
-@query(_whole_sql("CAST(sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS DECIMAL(18,2))"), O)
-def window_sum_around_whole():
-    return _whole(p.window_sum(O["o_totalprice"]).partition_by(O["o_custkey"]).order_by(O["o_orderkey"]).frame(Rows.around(2)))
-
+@query(
+    "SELECT c_custkey AS c, x.o_orderkey AS o, CAST(sum(x.o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY c_custkey) AS DECIMAL(18,2)) AS w "
+    "FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 150000) x ON o_custkey = c_custkey",
+    C, O,
+)
+def window_sum_present(e: Engine):
+    j = src(C).left_join(_FEW, O["o_custkey"].eq(C["c_custkey"]))
+    got = e.execute(j.window(p.window_sum_present(O["o_totalprice"].nullable()).partition_by(C["c_custkey"]).frame(Rows.all())))
+    return got.selectExpr("`customer.c_custkey` as c", "`orders.o_orderkey` as o", f"`{got.columns[-1]}` as w")
 
 
 # --- lists, vectors, evaluation ---------------------------------------------------------------------------------------
@@ -514,6 +566,12 @@ def unnest_list():
     return src(V).select(V["embedding"]).unnest()
 
 
+@query("SELECT CAST(unnest(embedding) AS FLOAT) AS value FROM customer LEFT JOIN embeddings ON vec_id = c_custkey", C, V)
+def unnest_present():
+    """Customers without a vector have a null list, which gives no rows."""
+    return src(C).left_join(src(V), V["vec_id"].eq(C["c_custkey"])).select(V["embedding"].nullable()).unnest_present()
+
+
 def _target(e: Engine) -> list[float]:
     return [((k * 17 + 3) % 101) / 101 for k in range(64)]
 
@@ -590,6 +648,20 @@ def insert_row(e: Engine):
     return e.table(C)
 
 
+@query(f"SELECT {_CUSTOMER_SQL} FROM customer UNION ALL SELECT 999999990 + range, 'new', 1, CAST(range AS DECIMAL(18,2)), 'NONE' FROM range(3)", C)
+def insert_rows(e: Engine):
+    from .operators.writes import insert_many
+
+    e.apply(insert_many(C, [{"c_custkey": 999_999_990 + k, "c_name": "new", "c_nationkey": 1, "c_acctbal": k, "c_mktsegment": "NONE"} for k in range(3)]))
+    return e.table(C)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1", L)
+def identity_check(e: Engine):
+    """What keeps order and line number from being an identity."""
+    return repeated(e.table(L), ["l_orderkey", "l_linenumber"])
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)", C, O)
 def reference_check(e: Engine):
     tables = {**e.tables, C.key: e.tables[C.key].filter("c_nationkey < 20")}

@@ -80,6 +80,7 @@ class Compiled:
     df: DataFrame
     scopes: tuple[Scope, ...]
     out: Out
+    #: How the rows are to be sorted; ``df`` is not sorted yet, so that filters written later still reach the source.
     order: tuple[Column, ...] = ()
 
 
@@ -115,7 +116,7 @@ class Compiler:
         return own[id(p)]
 
     def result(self, p: Pipeline) -> DataFrame:
-        done = self.run(p)
+        done = _settled(self.run(p))
         taken: dict[str, int] = {}
         cols = []
         for a, b in self._names(done.out, ""):
@@ -220,7 +221,7 @@ class Compiler:
 
     def _project(self, node: Pipeline, c: Compiled, outer: tuple[Scope, ...]) -> Compiled:
         s: Selected = node.data[0]
-        df = c.df.select(*self._columns(s, c))
+        df = _settled(c).df.select(*self._columns(s, c))
         return Compiled(df, (), Out("value", type=s.type, columns=s.names))
 
     def _aggregate(self, node: Pipeline, c: Compiled, outer: tuple[Scope, ...]) -> Compiled:
@@ -258,13 +259,7 @@ class Compiler:
         if not e.type.has("ordering"):
             raise ExactError("PIPELINE-TYPE-001", f"type {e.type.name} has no ordering semantics required by order_by")
         keys = sort_keys(self._lower(e, c), e.type, down)
-        order = (*keys, *c.order)
-        df = c.df
-        if not c.order:
-            # rows that tie keep the order they come in: by partition, then place
-            df = df.withColumn("ordinal!", F.monotonically_increasing_id())
-            order = (*order, F.col("ordinal!").asc())
-        return replace(c, df=df.orderBy(*order), order=order)
+        return replace(c, order=(*keys, *c.order))
 
     def _distinct(self, node: Pipeline, c: Compiled, outer: tuple[Scope, ...]) -> Compiled:
         _equality(c.out, "distinct")
@@ -272,8 +267,9 @@ class Compiler:
 
     def _slice(self, node: Pipeline, c: Compiled, outer: tuple[Scope, ...]) -> Compiled:
         offset, n = node.data
-        df = c.df.offset(offset) if offset else c.df
-        return replace(c, df=df if n is None else df.limit(n))
+        df = _settled(c).df
+        df = df.offset(offset) if offset else df
+        return replace(c, df=df if n is None else df.limit(n), order=())
 
     def _join(self, node: Pipeline, a: Compiled, b: Compiled, outer: tuple[Scope, ...]) -> Compiled:
         kind, on = node.data
@@ -287,7 +283,7 @@ class Compiler:
         aliases = [s.alias for s in scopes if s.alias]
         if len(set(aliases)) < len(aliases):
             raise ExactError("PIPELINE-SCOPE-002", "pipeline source alias appears more than once")
-        left, right = a.df.drop("ordinal!"), b.df.drop("ordinal!")
+        left, right = a.df, b.df
         flags = [""] * 2
         for side, lacking in enumerate((("right", "full"), ("left", "full"))):
             if kind in lacking:
@@ -316,8 +312,9 @@ class Compiler:
         if kind != "union_all":
             _equality(a.out, kind)
         mine = a.out.all_columns()
-        left = a.df.select(*(F.col(c) for c in mine))
-        right = b.df.select(*(F.col(x).alias(y) for x, y in zip(b.out.all_columns(), mine, strict=True)))
+        kept = _settled if kind == "union_all" else lambda c: c  # the others give no order
+        left = kept(a).df.select(*(F.col(c) for c in mine))
+        right = kept(b).df.select(*(F.col(x).alias(y) for x, y in zip(b.out.all_columns(), mine, strict=True)))
         if kind == "union_all":
             df = left.union(right)
         elif kind == "union":
@@ -403,6 +400,13 @@ class Compiler:
                 raise ExactError("PIPELINE-WINDOW-017", f"{what} ordering must include identity field {key} to prove a total order")
 
 
+def _settled(c: Compiled) -> Compiled:
+    """With its rows sorted. Rows that tie keep the order they come in: by partition, then place."""
+    if not c.order:
+        return c
+    return replace(c, df=c.df.withColumn("ordinal!", F.monotonically_increasing_id()).orderBy(*c.order, F.col("ordinal!").asc()).drop("ordinal!"))
+
+
 def exact_sum(x: Column, ty: Type, total: Callable[[Column], Column]) -> Column:
     """A sum that no order of additions changes; only its final value must fit the type."""
     target = ty.spark()
@@ -410,9 +414,9 @@ def exact_sum(x: Column, ty: Type, total: Callable[[Column], Column]) -> Column:
         out = total(x.cast("long"))
     else:
         out = total(x.cast(f"decimal(38,{ty.scale if ty.kind == 'decimal' else 0})"))
-    if ty.is_int and ty.kind[0] == "u":
+    if ty.is_int:
         lo, hi = ty.range
-        bounds = [F.lit(str(v)).cast("decimal(38,0)") for v in (lo, 2**63 - 1 if ty.stored == "long" else hi)]
+        bounds = [F.lit(str(v)).cast("decimal(38,0)") if ty.bits > 32 else F.lit(v) for v in (lo, 2**63 - 1 if ty.stored == "long" else min(hi, 10**38 - 1))]
         out = F.when(out.isNull() | out.between(*bounds), out).otherwise(F.raise_error(F.lit(f"EXPR-EVAL-002: overflow of {ty.name}")))
     return out.cast(target)
 

@@ -116,11 +116,11 @@ def lower(e: Expr, ctx: Context) -> Lowered:
     if e.op == "nullable":
         return a
     if e.op in ("add", "sub", "mul", "div", "rem"):
-        return Lowered(_arithmetic(e.op, e.type, a.value, args[1].value), _either(a.missing, args[1].missing))
+        return Lowered(_arithmetic(e.op, e.type, a.value, args[1].value, (e.args[0].type, e.args[1].type)), _either(a.missing, args[1].missing))
     if e.op == "neg":
-        return Lowered((-a.value).cast(e.type.spark()), a.missing)
+        return Lowered(_checked_sign(-a.value, a.value, e.type), a.missing)
     if e.op == "abs":
-        return Lowered(F.abs(a.value), a.missing)
+        return Lowered(_checked_sign(F.abs(a.value), a.value, e.type), a.missing)
     if e.op == "cast":
         return Lowered(a.value.cast(e.type.spark()), a.missing)
     if e.op == "call":
@@ -134,6 +134,13 @@ def lower(e: Expr, ctx: Context) -> Lowered:
     raise ExactError("EXPR-EVAL-107", f"unknown expression {e.op}")
 
 
+def _checked_sign(out: Column, x: Column, ty: Type) -> Column:
+    """The least signed number has no opposite."""
+    if not ty.is_int or ty.kind[0] == "u" or ty.spark().typeName() == "decimal":
+        return out.cast(ty.spark())
+    return F.when(x == ty.range[0], _refused("EXPR-EVAL-002", f"overflow of {ty.name}", ty)).otherwise(out).cast(ty.spark())
+
+
 def _compare(op: str, ty: Type, a: Lowered, b: Lowered) -> Column:
     x, y = _maps(ty, a.value), _maps(ty, b.value)
     if op in ("distinct", "not_distinct"):
@@ -162,14 +169,20 @@ def condition(e: Expr, ctx: Context) -> Column:
     return lower(e, ctx).value
 
 
-def _arithmetic(op: str, ty: Type, a: Column, b: Column) -> Column:
+def _arithmetic(op: str, ty: Type, a: Column, b: Column, of: tuple[Type, Type]) -> Column:
+    if ty.kind == "decimal" and op == "div":
+        return _decimal_division(a, b, *of).cast(ty.spark())
     if ty.is_float:
         if op == "div":
             return _float_division(a, b, ty)
         return {"add": a + b, "sub": a - b, "mul": a * b}[op].cast(ty.spark())
     if ty.kind == "decimal":
-        return {"add": lambda: a + b, "sub": lambda: a - b, "mul": lambda: a * b, "div": lambda: a / b}[op]().cast(ty.spark())
+        return {"add": lambda: a + b, "sub": lambda: a - b, "mul": lambda: a * b}[op]().cast(ty.spark())
     wide = ty.spark().typeName() == "decimal"
+    if op in ("div", "rem"):
+        b = F.when(b == 0, _refused("EXPR-EVAL-002", f"division of {ty.name} by zero", ty)).otherwise(b)
+    if ty.kind[0] == "i" and not wide:
+        return _signed(op, ty, a, b)
     if op == "div":
         out = ((a - a % b) / b) if wide else F.call_function("div", a, b)
     else:
@@ -183,6 +196,50 @@ def _arithmetic(op: str, ty: Type, a: Column, b: Column) -> Column:
     return out.cast(ty.spark())
 
 
+def _refused(code: str, why: str, ty: Type) -> Column:
+    """An error when a row comes to it."""
+    return F.raise_error(F.lit(f"{code}: {why}")).cast(ty.spark())
+
+
+def _within(out: Column, ty: Type) -> Column:
+    """A long that must fit a narrower signed type."""
+    lo, hi = ty.range
+    return F.when(out.isNull() | out.between(lo, hi), out).otherwise(_refused("EXPR-EVAL-002", f"overflow of {ty.name}", ty).cast("long")).cast(ty.spark())
+
+
+def _signed(op: str, ty: Type, a: Column, b: Column) -> Column:
+    """Up to 32 bits by way of longs, where nothing can overflow; 64 bits by the forms that give null where it does."""
+    if ty.bits < 64:
+        x, y = a.cast("long"), b.cast("long")
+        return _within({"add": lambda: x + y, "sub": lambda: x - y, "mul": lambda: x * y, "div": lambda: F.call_function("div", x, y), "rem": lambda: x % y}[op](), ty)
+    if op == "rem":
+        return a % b
+    if op == "div":
+        return F.when((b == -1) & (a == -(2**63)), _refused("EXPR-EVAL-002", f"overflow of {ty.name}", ty)).otherwise(F.call_function("div", a, b))
+    out = {"add": F.try_add, "sub": F.try_subtract, "mul": F.try_multiply}[op](a, b)
+    return F.when(out.isNull() & a.isNotNull() & b.isNotNull(), _refused("EXPR-EVAL-002", f"overflow of {ty.name}", ty)).otherwise(out)
+
+
+def _decimal_division(a: Column, b: Column, of: Type, by: Type) -> Column:
+    """18 decimals, the last one rounded half away from zero: a long division of whole numbers in two steps of nine digits.
+
+    Spark's own division stops at a scale that depends on the precisions. Quotients of what is divisible are exact in it.
+    """
+    scale = max(of.scale, by.scale)
+    whole = lambda c, ty: (c * F.lit(str(10**scale)).cast(f"decimal({scale + 1},0)")).cast(f"decimal({ty.precision + scale - ty.scale},0)")
+    y = whole(F.when(b == 0, _refused("EXPR-EVAL-003", "decimal division by zero", by)).otherwise(b), by)
+    digits = f"decimal({by.precision + scale - by.scale},0)"
+    nine = F.lit("1000000000").cast("decimal(10,0)")
+    step = lambda x, kind: (((x - x % y) / y).cast(kind), (x % y).cast(digits))
+    first, rest = step(whole(a, of), "decimal(19,0)")
+    second, rest = step(rest * nine, "decimal(10,0)")
+    third, rest = step(rest * nine, "decimal(10,0)")
+    sign = F.when((a < 0) == (b < 0), 1).otherwise(-1).cast("decimal(1,0)")
+    third = third + F.when(F.abs(rest) >= F.abs(y) - F.abs(rest), sign).otherwise(F.lit(0).cast("decimal(1,0)"))
+    part = F.lit("0.000000001").cast("decimal(9,9)")
+    return first.cast("decimal(37,18)") + (second * part + third * part * part).cast("decimal(19,18)")  # a sum that keeps its scale
+
+
 def _float_division(a: Column, b: Column, ty: Type) -> Column:
     """IEEE: by zero gives an infinity or NaN. Only a zero's text tells its sign."""
     inf = lambda s: F.lit(s).cast(ty.spark())

@@ -15,7 +15,7 @@ from .expr import Expr
 from .model import Model, present, row
 from .operators.writes import Delete, Insert, Update
 from .plans.compile import Compiler, Scope
-from .plans.identity import fingerprint
+from .plans.identity import exact_key
 from .plans.lower import lower
 from .plans.pipeline import Pipeline
 
@@ -39,13 +39,17 @@ class Limits:
 
 @dataclass(frozen=True)
 class CachePolicy:
-    """How many compiled plans an engine keeps."""
+    """How many compiled plans an engine keeps, and of what size: bytes of their analysed plans as text."""
 
     entries: int = 256
+    bytes: int = 64 << 20
+    entry_bytes: int = 4 << 20
 
     def __post_init__(self) -> None:
-        if self.entries <= 0:
-            raise ExactError("ENGINE-CACHE-001", "enabled caches require non-zero bounds")
+        if min(self.entries, self.bytes, self.entry_bytes) <= 0:
+            raise ExactError("ENGINE-CACHE-001", "a plan cache must be allowed at least one entry and some bytes, in all and for one plan")
+        if self.entry_bytes > self.bytes:
+            raise ExactError("ENGINE-CACHE-002", "one cached plan may not be allowed more bytes than all of them")
 
 
 class Engine:
@@ -55,7 +59,8 @@ class Engine:
         self.spark, self.limits, self.cache = spark, limits, cache
         self.models: dict[str, Model] = {}
         self.tables: dict[str, DataFrame] = {}
-        self._plans: dict[str, DataFrame] = {}
+        #: By exact key: the plan, its bytes, and the pipeline, which keeps alive what the key names by address.
+        self._plans: dict[str, tuple[DataFrame, int, Pipeline]] = {}
 
     # --- registry ------------------------------------------------------------
     def register(self, model: Model) -> None:
@@ -105,14 +110,16 @@ class Engine:
     # --- queries -------------------------------------------------------------
     def execute(self, pipeline: Pipeline, **parameters: Any) -> DataFrame:
         """The pipeline's rows as a lazy data frame."""
-        key = fingerprint(pipeline) if not parameters else ""
+        key = exact_key(pipeline) if not parameters else ""
         if key and key in self._plans:
-            return self._plans[key]
+            return self._plans[key][0]
         df = Compiler(self.table, parameters).result(pipeline)
         if key:
-            while len(self._plans) >= self.cache.entries:
-                self._plans.pop(next(iter(self._plans)))
-            self._plans[key] = df
+            size = len(df._jdf.queryExecution().analyzed().toString())
+            if size <= self.cache.entry_bytes:
+                while self._plans and (len(self._plans) >= self.cache.entries or sum(s for _, s, _ in self._plans.values()) + size > self.cache.bytes):
+                    self._plans.pop(next(iter(self._plans)))
+                self._plans[key] = (df, size, pipeline)
         return df
 
     def collect(self, pipeline: Pipeline, **parameters: Any) -> list[Row]:
@@ -168,11 +175,7 @@ class Engine:
 
     def _constraints(self, model: Model, df: DataFrame) -> None:
         for keys, code, what in [*([(model.identity, "DATASET-IDENTITY-001", "duplicate model identity")] if model.identity else []), *((u, "DATASET-UNIQUE-001", "duplicate unique field tuple") for u in model.uniques)]:
-            names = [model.field(k).name for k in keys]
-            whole = df
-            for n in names:  # tuples with null or missing parts do not take part
-                whole = whole.filter(F.col(f"`{n}`").isNotNull())
-            if whole.groupBy(*(F.col(f"`{n}`") for n in names)).count().filter("count > 1").limit(1).take(1):
+            if repeated(df, [model.field(k).name for k in keys]).limit(1).take(1):
                 raise ExactError(code, f"{what} in model {model.key}")
 
     def _references(self, tables: dict[str, DataFrame]) -> None:
@@ -201,17 +204,19 @@ class Engine:
             raise ExactError("MEMORY-WRITE-002", "write model differs from the registered model")
         return write.model
 
-    def begin(self, isolation: str = "serializable", max_writes: int = 1024) -> Transaction:
+    def begin(self, isolation: str = "serializable", max_writes: int = 1024, max_rows: int | None = None, max_bytes: int | None = None) -> Transaction:
+        """``max_rows`` and ``max_bytes`` bound the written tables, all together (bytes: of their rows as JSON); checking them reads these tables."""
         if isolation != "serializable":
             raise ExactError("MEMORY-TX-001", "only serializable transactions are offered")
-        return Transaction(self, max_writes)
+        return Transaction(self, max_writes, max_rows, max_bytes)
 
 
 class Transaction:
     """Writes to private copies. References are checked at commit, which publishes all tables or none."""
 
-    def __init__(self, engine: Engine, max_writes: int):
+    def __init__(self, engine: Engine, max_writes: int, max_rows: int | None = None, max_bytes: int | None = None):
         self.engine, self.max_writes, self.writes = engine, max_writes, 0
+        self.max_rows, self.max_bytes, self.sizes = max_rows, max_bytes, {}
         self.tables, self.open = dict(engine.tables), True
         self._base = dict(engine.tables)
 
@@ -221,12 +226,20 @@ class Transaction:
         model = self.engine._written(write)
         changed = written(self.tables[model.key], write, self.engine._rows)
         self.engine._constraints(model, changed)
+        if self.max_rows is not None or self.max_bytes is not None:
+            size = F.length(F.to_json(F.struct("*"))) if self.max_bytes is not None else F.lit(0)
+            sizes = {**self.sizes, model.key: changed.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()}
+            if self.max_rows is not None and sum(s[0] for s in sizes.values()) > self.max_rows:
+                raise ExactError("MEMORY-TX-003", f"the tables written in this transaction hold more than {self.max_rows} rows")
+            if self.max_bytes is not None and sum(s[1] for s in sizes.values()) > self.max_bytes:
+                raise ExactError("MEMORY-TX-004", f"the tables written in this transaction hold more than {self.max_bytes} bytes")
+            self.sizes = sizes
         self.tables[model.key] = changed
         self.writes += 1
 
     def commit(self) -> None:
         if any(self.engine.tables.get(k) is not v for k, v in self._base.items()):
-            raise ExactError("MEMORY-TX-003", "tables changed since the transaction began")
+            raise ExactError("MEMORY-TX-005", "tables changed since the transaction began")
         self.engine._references(self.tables)
         self.engine.tables.update(self.tables)
         self.engine._plans.clear()
@@ -259,6 +272,14 @@ def written(df: DataFrame, write: Write, rows: Any) -> DataFrame:
     return df.select(*(changed.get(n, F.col(f"`{n}`")).alias(n) for n in (f.name for f in model.schema().fields)))
 
 
+def repeated(df: DataFrame, names: list[str]) -> DataFrame:
+    """The tuples that several rows have; those with null or missing parts do not count."""
+    columns = [F.col(f"`{n}`") for n in names]
+    for c in columns:
+        df = df.filter(c.isNotNull())
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("times!")).filter("`times!` > 1").drop("times!")
+
+
 def unreferenced(model: Model, target: Model | None, tables: dict[str, DataFrame], ref: Any) -> DataFrame:
     """Rows whose reference, without nulls, has no row in the target."""
     if target is None:

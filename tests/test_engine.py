@@ -1,19 +1,21 @@
 """Operators on small tables, with results known by hand."""
 
 import datetime as dt
-from decimal import Decimal
+import random
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pytest
 
 from exactframe import types as t
 from exactframe.errors import ExactError
-from exactframe.expr import lit, null, parameter
+from exactframe.expr import call, lit, null, parameter
+from exactframe.functions import SemanticFunction
 from exactframe.model import ModelBuilder
 from exactframe.operators.writes import delete, insert, insert_many, update
 from exactframe.plans import pipeline as p
 from exactframe.plans.identity import fingerprint
 from exactframe.plans.pipeline import Pipeline, Rows
-from exactframe.session import Engine, Limits, evaluate
+from exactframe.session import CachePolicy, Engine, Limits, evaluate
 from exactframe.values import MISSING
 
 USER = ModelBuilder("t/user").field("id", t.U64).field("organization_id", t.U64).field("score", t.I64).identity("id").freeze()
@@ -392,3 +394,95 @@ def test_rejected_expressions():
 
 def test_missing_is_not_none():
     assert MISSING is not None and not MISSING
+
+
+MONEY_MODEL = ModelBuilder("t/money").field("id", t.U64).field("a", t.decimal(18, 2)).field("b", t.decimal(12, 3)).identity("id").freeze()
+
+
+def test_decimal_division_has_18_true_digits(spark):
+    """Against Python's Decimal, rounded half away from zero."""
+    rng = random.Random(11)
+    rows = [(Decimal(rng.randrange(-(10**rng.randint(1, 18)), 10**18)) / 100, Decimal(rng.randrange(1, 10 ** rng.randint(1, 12)) * rng.choice((1, -1))) / 10**3) for _ in range(400)]
+    rows += [(Decimal("1.00"), Decimal("3.000")), (Decimal("-2.00"), Decimal("3.000")), (Decimal(0), Decimal("-7.000")), (Decimal("9999999999999999.99"), Decimal("0.001"))]
+    m, e = MONEY_MODEL, Engine(spark)
+    with localcontext() as c:
+        c.prec = 60
+        fits = [(a, b) for a, b in rows if abs(a / b) < 10**19]
+        e.load(m, [dict(id=k, a=a, b=b) for k, (a, b) in enumerate(fits)])
+        got = {r.id: r for r in e.collect(Pipeline.from_model(m).select({"id": m["id"], "q": m["a"] / m["b"]}))}
+        for k, (a, b) in enumerate(fits):
+            assert got[k].q == (a / b).quantize(Decimal(1).scaleb(-18), rounding=ROUND_HALF_UP), (a, b)
+    e = Engine(spark)
+    e.load(m, [dict(id=1, a=Decimal(1), b=Decimal(0))])
+    with pytest.raises(Exception, match="EXPR-EVAL-003"):
+        e.collect(Pipeline.from_model(m).select(m["a"] / m["b"]))
+    with pytest.raises(ExactError, match="EXPR-EVAL-003"):
+        lit(Decimal(1), t.decimal(38, 2)) / lit(Decimal(3), t.decimal(5, 2))
+
+
+def test_overflow_carries_its_code(spark):
+    m = ModelBuilder("t/ints").field("id", t.U64).field("a", t.I8).field("b", t.I32).field("c", t.I64).identity("id").freeze()
+    e = Engine(spark)
+    e.load(m, [dict(id=1, a=-128, b=2**31 - 1, c=-(2**63)), dict(id=2, a=-128, b=1, c=-1)])
+    one = lambda x: Pipeline.from_model(m).filter(m["id"].eq(1)).select(x)
+    for x in (m["a"] - 1, -m["a"], m["a"].abs(), m["a"] / -1, m["b"] + 1, m["b"] * m["b"], m["c"] - 1, m["c"] * 2, m["c"] / -1, -m["c"], m["c"] / (m["c"] - m["c"]), m["b"] % (m["b"] - m["b"])):
+        with pytest.raises(Exception, match="EXPR-EVAL-002"):
+            e.collect(one(x))
+    for total in (p.sum_(m["a"]), p.sum_(m["b"]), p.sum_(m["c"])):
+        with pytest.raises(Exception, match="EXPR-EVAL-002"):
+            e.collect(Pipeline.from_model(m).aggregate(total))
+    assert e.collect(one((m["a"] + 1, m["c"] + 1, m["c"] % 10)))[0] == (-127, -(2**63) + 1, -8)
+
+
+def test_one_engine_keeps_plans_apart(e):
+    """Aliases and the order of inputs change rows and names, though not what a fingerprint says."""
+    pair = lambda a, b: Pipeline.from_model_as(U, a).cross_join(Pipeline.from_model_as(U, b))
+    assert fingerprint(pair("a", "b")) == fingerprint(pair("x", "y"))
+    assert e.execute(pair("a", "b")).columns[0] == "a.id" and e.execute(pair("x", "y")).columns[0] == "x.id"
+    left, right = (Pipeline.from_model(U).filter(U["id"].eq(k)).select(U["id"]) for k in (1, 4))
+    assert [r[0] for r in e.collect(left.union_all(right))] == [1, 4] and [r[0] for r in e.collect(right.union_all(left))] == [4, 1]
+    assert e.execute(left.union_all(right)) is e.execute(left.union_all(right))  # equal plans are still found
+    f, g = (SemanticFunction("t/f", 1, (t.I64,), t.I64, build) for build in (lambda c: c + 1, lambda c: c + 2))
+    got = [e.collect(Pipeline.from_model(U).filter(U["id"].eq(1)).select(call(x, U["score"])))[0][0] for x in (f, g)]
+    assert got == [11, 12]
+
+
+def test_cache_bounds(spark, e):
+    for bad, code in (({"entries": 0}, "001"), ({"bytes": 0}, "001"), ({"bytes": 10, "entry_bytes": 11}, "002")):
+        with pytest.raises(ExactError, match=f"ENGINE-CACHE-{code}"):
+            CachePolicy(**bad)
+    small = Engine(spark, cache=CachePolicy(entries=2))
+    small.bind(U, e.table(U))
+    plans = [Pipeline.from_model(U).filter(U["id"].eq(k)) for k in range(4)]
+    for x in plans:
+        small.execute(x)
+    assert len(small._plans) == 2 and small.execute(plans[3]) is small.execute(plans[3])
+    none = Engine(spark, cache=CachePolicy(bytes=20, entry_bytes=10))  # no plan is as small
+    none.bind(U, e.table(U))
+    assert len(none.collect(plans[1])) == 1 and not none._plans
+
+
+def test_filters_pass_sorts(spark, e, tmp_path):
+    e.table(O).write.parquet(str(tmp_path / "o"))
+    disk = Engine(spark)
+    disk.bind(O, spark.read.parquet(str(tmp_path / "o")))
+    total = lambda x: Pipeline.from_model(O).order_by(O["id"]).order_by_desc(O["total"]).filter(O["total"].gt(x)).select({"id": O["id"], "total": O["total"]})
+    assert [r.total for r in disk.collect(total(100))] == [500, 200, 150]
+    assert "GreaterThan(total,100)" in disk.execute(total(100))._jdf.queryExecution().executedPlan().toString()
+    sliced = Pipeline.from_model(O).order_by_desc(O["total"]).limit(2)
+    assert [r.total for r in disk.collect(sliced.order_by(O["total"]))] == [200, 500]
+    assert [r.total for r in disk.collect(sliced.filter(O["total"].lt(300)))] == [200]
+    assert len(disk.collect(Pipeline.from_model(O).order_by(O["total"]).aggregate(p.count()))) == 1
+
+
+def test_transaction_bounds(spark):
+    e = Engine(spark)
+    e.load(PARENT, [{"id": 1}, {"id": 2}])
+    tx = e.begin(max_rows=3)
+    tx.apply(insert(PARENT, {"id": 3}))
+    with pytest.raises(ExactError, match="MEMORY-TX-003"):
+        tx.apply(insert(PARENT, {"id": 4}))
+    tx.commit()
+    assert len(e.rows(PARENT)) == 3
+    with pytest.raises(ExactError, match="MEMORY-TX-004"):
+        e.begin(max_bytes=10).apply(insert(PARENT, {"id": 5}))

@@ -56,15 +56,15 @@ class SemanticFunction:
 
     def __post_init__(self) -> None:
         if not re.fullmatch(r"[^\s/]+(/[^\s/]+)+", self.key):
-            raise ExactError("EXPR-FUNC-001", "function key must be a non-empty namespaced path such as org.example/function")
+            raise ExactError("EXPR-FUNC-001", "a function is called like org.example/name")
         if self.version <= 0:
-            raise ExactError("EXPR-FUNC-002", "function semantic version must be greater than zero")
+            raise ExactError("EXPR-FUNC-002", "versions of functions begin at 1")
         if any(not n or v <= 0 for n, v in self.depends):
-            raise ExactError("EXPR-FUNC-003", "function semantic dependencies require non-empty names and versions")
+            raise ExactError("EXPR-FUNC-003", "what a function depends on has a name and a version from 1")
         if self.key.startswith("core/"):
-            raise ExactError("EXPR-FUNC-005", "custom semantic functions may not claim the reserved core/ namespace")
+            raise ExactError("EXPR-FUNC-005", "names under core/ are the language's own")
         if not self.deterministic:
-            raise ExactError("EXPR-FUNC-006", "custom semantic functions must be deterministic")
+            raise ExactError("EXPR-FUNC-006", "a function must give the same for the same arguments")
         if len(self.takes) not in (1, 2):
             raise ExactError("EXPR-FUNCTION-001", "a function takes one or two arguments")
 

@@ -45,7 +45,7 @@ class Snapshot:
     def by_key(self) -> dict[str, Entity]:
         out = {e.key: e for e in self.entities}
         if len(out) < len(self.entities):
-            raise ExactError("MIGRATE-CATALOG-001", "duplicate entity key")
+            raise ExactError("MIGRATE-CATALOG-001", "a catalog names each entity once")
         return out
 
     def content(self) -> Any:
@@ -74,10 +74,10 @@ MAX_OPERATIONS = 16_384
 
 def diff(source: Snapshot, target: Snapshot, renames: tuple[Rename, ...] = ()) -> list[Operation]:
     if source.scope != target.scope:
-        raise ExactError("MIGRATE-DIFF-002", "snapshots cover different scopes")
+        raise ExactError("MIGRATE-DIFF-002", "the two catalogs are not of one scope")
     told, used = set(renames), set()
     if len(told) < len(renames):
-        raise ExactError("MIGRATE-DIFF-003", "duplicate rename intent")
+        raise ExactError("MIGRATE-DIFF-003", "a rename is declared twice")
     a, b = source.by_key(), target.by_key()
     out: list[Operation] = []
 
@@ -112,9 +112,9 @@ def diff(source: Snapshot, target: Snapshot, renames: tuple[Rename, ...] = ()) -
                         elif what == "index" and (old[k].fields, old[k].unique) != (new[k].fields, new[k].unique):
                             out += [Operation("drop_index", key, k), Operation("create_index", key, k, new[k])]
     if told - used:
-        raise ExactError("MIGRATE-DIFF-005", "a rename intent fits no change")
+        raise ExactError("MIGRATE-DIFF-005", "a declared rename has nothing to rename")
     if len(out) > MAX_OPERATIONS:
-        raise ExactError("MIGRATE-DIFF-006", "catalog difference exceeds the operation limit")
+        raise ExactError("MIGRATE-DIFF-006", "the catalogs differ in more places than allowed")
     return sorted(out, key=lambda o: (ORDER.index(o.kind), o.entity, o.key))
 
 
@@ -177,7 +177,7 @@ class MigrationPolicy:
 
     def authorize(self, p: Plan, approval: Approval | None = None) -> None:
         if approval is not None and approval.plan != p.identity:
-            raise ExactError("MIGRATE-POLICY-001", "approval is bound to a different migration plan")
+            raise ExactError("MIGRATE-POLICY-001", "the approval was given for another plan")
         for k, o in enumerate(p.steps):
             r = risk(o)
             no = None
@@ -205,7 +205,7 @@ class Backend(Protocol):
 def apply(backend: Backend, p: Plan, policy: MigrationPolicy = MigrationPolicy(), approval: Approval | None = None, max_steps: int = 1024) -> list[str]:
     """Runs the plan between begin and commit; any failure aborts. Gives the summaries of the steps."""
     if len(p.steps) > max_steps:
-        raise ExactError("MIGRATE-APPLY-002", f"plan step count {len(p.steps)} exceeds apply limit {max_steps}")
+        raise ExactError("MIGRATE-APPLY-002", f"the plan has {len(p.steps)} steps; {max_steps} may be applied")
     policy.authorize(p, approval)
     backend.begin(p)
     try:
@@ -214,7 +214,7 @@ def apply(backend: Backend, p: Plan, policy: MigrationPolicy = MigrationPolicy()
         try:
             backend.finish(False)
         except Exception as cleanup:
-            raise ExactError("MIGRATE-APPLY-003", f"migration failed ({primary}); abort also failed ({cleanup}); backend state is uncertain") from primary
+            raise ExactError("MIGRATE-APPLY-003", f"a step failed ({primary}) and so did going back ({cleanup}): look at the target before anything else") from primary
         raise
     backend.finish(True)
     return done
@@ -223,21 +223,21 @@ def apply(backend: Backend, p: Plan, policy: MigrationPolicy = MigrationPolicy()
 def _locked(backend: Backend, p: Plan) -> list[str]:
     seen = backend.inspect(p.source.scope)
     if seen.revision != p.source.revision:
-        raise ExactError("MIGRATE-APPLY-STALE", f"stale migration plan: expected source revision {p.source.revision}, observed {seen.revision}")
+        raise ExactError("MIGRATE-APPLY-STALE", f"the plan starts from revision {p.source.revision}, the target is at {seen.revision}")
     if seen.content() != p.source.content():
-        raise ExactError("MIGRATE-APPLY-004", "catalog contents do not match the plan source despite an equal revision token")
+        raise ExactError("MIGRATE-APPLY-004", "the revision is the plan's but the contents are not")
     done: list[str] = []
     for k, o in enumerate(p.steps):
         try:
             backend.apply_step(o)
         except Exception as e:
-            raise ExactError("MIGRATE-APPLY-005", f"migration step {k} failed after {len(done)} successful steps: {e}") from e
+            raise ExactError("MIGRATE-APPLY-005", f"step {k} failed, {len(done)} before it were done: {e}") from e
         done.append(o.summary())
     end = backend.inspect(p.target.scope)
     if end.revision != p.target.revision:
-        raise ExactError("MIGRATE-APPLY-006", f"migration did not reach target revision {p.target.revision}; observed {end.revision}")
+        raise ExactError("MIGRATE-APPLY-006", f"the target ended at revision {end.revision}, not {p.target.revision}")
     if end.content() != p.target.content():
-        raise ExactError("MIGRATE-APPLY-007", "migration did not converge")
+        raise ExactError("MIGRATE-APPLY-007", "the target is not what the plan describes")
     return done
 
 

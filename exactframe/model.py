@@ -66,7 +66,7 @@ class Model:
 
     def field(self, key: str) -> FieldDef:
         if key not in self._by_key:
-            raise ExactError("RUNTIME-101", f"unknown runtime field {key}")
+            raise ExactError("RUNTIME-101", f"there is no field {key}")
         return self._by_key[key]
 
     def has(self, key: str) -> bool:
@@ -79,7 +79,7 @@ class Model:
     def get(self, key: str, ty: Type) -> Expr:
         f = self.field(key)
         if not f.type.same(ty):
-            raise ExactError("RUNTIME-102", f"runtime field {key} has type {f.type.name} but {ty.name} was requested")
+            raise ExactError("RUNTIME-102", f"{key} holds {f.type.name}, not {ty.name}")
         return self[key]
 
     def same(self, other: Model) -> bool:
@@ -121,7 +121,7 @@ class ModelBuilder:
 
     def identity(self, *keys: str) -> ModelBuilder:
         if self._identity is not None:
-            raise ExactError("CONSTRAINT-008", "model identity may only be declared once")
+            raise ExactError("CONSTRAINT-008", "a model has one identity")
         self._identity = keys
         return self
 
@@ -149,9 +149,9 @@ class ModelBuilder:
             _text("FIELD-001", f.key, "field key")
             _text("FIELD-002", f.name, "field name")
             if f.key in known:
-                raise ExactError("FIELD-003", f"duplicate field key {f.key}")
+                raise ExactError("FIELD-003", f"two fields have the key {f.key}")
             if f.name in names:
-                raise ExactError("FIELD-004", f"duplicate field name {f.name}")
+                raise ExactError("FIELD-004", f"two fields are called {f.name}")
             known[f.key] = f
             names.add(f.name)
             f.type.validate()
@@ -161,51 +161,51 @@ class ModelBuilder:
             for k in self._identity:
                 f = known[k]
                 if f.optional or f.type.null:
-                    raise ExactError("CONSTRAINT-002", f"identity field {k} must be required and non-null")
+                    raise ExactError("CONSTRAINT-002", f"{k} may lack a value, so it cannot identify rows")
                 if not (f.type.has("equality") and f.type.has("keyable")):
-                    raise ExactError("CONSTRAINT-006", f"identity field {k} must support stable key equality")
+                    raise ExactError("CONSTRAINT-006", f"values of {k} cannot be told apart, so it cannot identify rows")
         for u in self._uniques:
             self._tuple(known, u, "unique")
             for k in u:
                 if not (known[k].type.has("equality") and known[k].type.has("keyable")):
-                    raise ExactError("CONSTRAINT-007", f"unique field {k} must support stable key equality")
+                    raise ExactError("CONSTRAINT-007", f"values of {k} cannot be told apart, so they cannot be unique")
         for r in self._references:
             if not r.source_fields or len(r.source_fields) != len(r.target_fields):
-                raise ExactError("CONSTRAINT-004", "reference source and target fields must be non-empty and equal in number")
+                raise ExactError("CONSTRAINT-004", "a reference pairs each of its fields with one of the target")
             _text("CONSTRAINT-010", r.target, "reference target model key")
             self._tuple(known, r.source_fields, "reference")
             for k in r.target_fields:
                 _text("CONSTRAINT-011", k, "reference target field key")
             if len(set(r.target_fields)) < len(r.target_fields):
-                raise ExactError("CONSTRAINT-009", "duplicate target field in reference")
+                raise ExactError("CONSTRAINT-009", "a reference leads to one field twice")
         keys, rel_names = set(), set()
         for r in self._relations:
             _text("RELATION-003", r.key, "relation key")
             _text("RELATION-004", r.name, "relation name")
             _text("RELATION-008", r.target, "relation target model key")
             if r.key in keys:
-                raise ExactError("RELATION-005", f"duplicate relation key {r.key}")
+                raise ExactError("RELATION-005", f"two relations have the key {r.key}")
             if r.name in rel_names:
-                raise ExactError("RELATION-006", f"duplicate relation name {r.name}")
+                raise ExactError("RELATION-006", f"two relations are called {r.name}")
             keys.add(r.key)
             rel_names.add(r.name)
             if not r.mapping:
-                raise ExactError("RELATION-001", "relation must map at least one field")
+                raise ExactError("RELATION-001", "a relation needs a field to go by")
             for s, t in r.mapping:
                 if s not in known:
                     raise ExactError("RELATION-002", f"unknown source field {s}")
                 _text("RELATION-009", t, "relation target field key")
             if any(len({m[k] for m in r.mapping}) < len(r.mapping) for k in (0, 1)):
-                raise ExactError("RELATION-007", "relation field mappings must not repeat source or target fields")
+                raise ExactError("RELATION-007", "a relation uses each field once on its side")
         return Model(self.key, self.name, tuple(self._fields), self._identity or (), tuple(self._uniques), tuple(self._references), tuple(self._relations))
 
     @staticmethod
     def _tuple(known: dict[str, FieldDef], keys: tuple[str, ...], what: str) -> None:
         if not keys:
-            raise ExactError("CONSTRAINT-001", f"{what} must name at least one field")
+            raise ExactError("CONSTRAINT-001", f"{what}: no field is named")
         for k in keys:
             if k not in known:
-                raise ExactError("CONSTRAINT-003", f"{what} names unknown field {k}")
+                raise ExactError("CONSTRAINT-003", f"{what}: there is no field {k}")
         if len(set(keys)) < len(keys):
             raise ExactError("CONSTRAINT-005", f"{what} repeats a field")
 
@@ -222,7 +222,7 @@ class ModelSet:
         self.models: dict[str, Model] = {}
         for m in models:
             if m.key in self.models:
-                raise ExactError("MODELSET-001", f"duplicate model key {m.key}")
+                raise ExactError("MODELSET-001", f"two models have the key {m.key}")
             self.models[m.key] = m
         consistent([f.type for m in models for f in m.fields])
         for m in models:
@@ -230,20 +230,20 @@ class ModelSet:
                 target = self._target(r.target, "RELATION-101", "relation")
                 for s, t in r.mapping:
                     if not target.has(t):
-                        raise ExactError("RELATION-103", f"relation {r.key} targets unknown field {t}")
+                        raise ExactError("RELATION-103", f"{r.key} leads to {t}, a field that is not there")
                     if not m.field(s).type.non_null().same(target.field(t).type.non_null()):
-                        raise ExactError("RELATION-104", f"relation {r.key} maps incompatible types")
+                        raise ExactError("RELATION-104", f"{r.key} pairs fields of different types")
                 if r.cardinality != "many" and not _is_key(target, tuple(t for _, t in r.mapping)):
-                    raise ExactError("RELATION-105", f"to-one relation {r.key} must target an identity or unique field tuple")
+                    raise ExactError("RELATION-105", f"{r.key} leads to one row, so its target must identify rows")
             for ref in m.references:
                 target = self._target(ref.target, "CONSTRAINT-101", "reference")
                 for s, t in zip(ref.source_fields, ref.target_fields, strict=True):
                     if not target.has(t):
-                        raise ExactError("CONSTRAINT-103", f"reference targets unknown field {t}")
+                        raise ExactError("CONSTRAINT-103", f"the reference leads to {t}, a field that is not there")
                     if not m.field(s).type.non_null().same(target.field(t).type.non_null()):
-                        raise ExactError("CONSTRAINT-104", "reference field types must match exactly")
+                        raise ExactError("CONSTRAINT-104", "a reference pairs fields of one type")
                 if not _is_key(target, ref.target_fields):
-                    raise ExactError("CONSTRAINT-105", "reference target fields must form identity or unique tuple")
+                    raise ExactError("CONSTRAINT-105", "a reference must lead to fields that identify rows")
 
     def _target(self, key: str, code: str, what: str) -> Model:
         if key not in self.models:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def _some(n, value):
     """An evaluation of nothing is an error."""
-    return F.when(n == 0, F.raise_error(F.lit("ML-EVALUATION-001: evaluation requires at least one row")).cast("double")).otherwise(value)
+    return F.when(n == 0, F.raise_error(F.lit("ML-EVALUATION-001: there is nothing to evaluate")).cast("double")).otherwise(value)
 
 
 def evaluate_binary(rows: DataFrame, expected: str, predicted: str) -> DataFrame:
@@ -22,6 +22,6 @@ def evaluate_regression(rows: DataFrame, expected: str, predicted: str) -> DataF
     """(total, mse, mae); values must be finite."""
     e, p = F.col(expected).cast("double"), F.col(predicted).cast("double")
     finite = ~F.isnan(e) & ~F.isnan(p) & (F.abs(e) < float("inf")) & (F.abs(p) < float("inf"))
-    d = F.when(F.coalesce(finite, F.lit(False)), e - p).otherwise(F.raise_error(F.lit("ML-EVALUATION-002: evaluation requires finite values")).cast("double"))
+    d = F.when(F.coalesce(finite, F.lit(False)), e - p).otherwise(F.raise_error(F.lit("ML-EVALUATION-002: a value is not a finite number")).cast("double"))
     n = F.count(F.lit(1))
     return rows.agg(n.alias("total"), _some(n, F.avg(d * d)).alias("mse"), _some(n, F.avg(F.abs(d))).alias("mae"))

@@ -25,18 +25,18 @@ class FeatureSet:
 
     def insert(self, name: str, value: float | bool | str | list[float]) -> FeatureSet:
         if not name or len(name.encode()) > self.limits.name_bytes:
-            raise ExactError("ML-FEATURE-001", "feature name is empty or exceeds the configured byte limit")
+            raise ExactError("ML-FEATURE-001", "a feature needs a name, and not too long a one")
         if isinstance(value, list):
             check_vector(value)
         elif isinstance(value, str):
             if len(value.encode()) > self.limits.category_bytes:
-                raise ExactError("ML-FEATURE-003", "categorical feature exceeds the configured byte limit")
+                raise ExactError("ML-FEATURE-003", "the text of a category is too long")
         elif not isinstance(value, bool) and not math.isfinite(value):
-            raise ExactError("ML-FEATURE-002", "numeric features must be finite")
+            raise ExactError("ML-FEATURE-002", "a numeric feature is a finite number")
         if name in self._values:
-            raise ExactError("ML-FEATURE-004", f"duplicate feature {name}")
+            raise ExactError("ML-FEATURE-004", f"{name} is given twice")
         if len(self._values) >= self.limits.features:
-            raise ExactError("ML-FEATURE-005", "feature set exceeds the configured limit")
+            raise ExactError("ML-FEATURE-005", "there are more features than allowed")
         self._values[name] = value
         return self
 

@@ -49,7 +49,11 @@ def exact_search(candidates: DataFrame, id_column: str, vector_column: str, targ
     t = F.array(*(F.lit(float(x)) for x in target))
     fits = (F.size(v) == len(target)) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     bad = F.raise_error(F.lit("ML-VECTOR-002: a candidate has another length or a component that is not finite")).cast("array<double>")
-    rows = candidates.select(F.col(id_column).alias("id"), F.when(fits, v).otherwise(bad).alias("v")).select("id", metric_value(F.col("v"), t, metric).alias("metric"))
+    key = F.col(id_column)
+    if candidates.schema[id_column].dataType.typeName() == "string":
+        long = F.raise_error(F.lit(f"ML-VECTOR-005: an id has 1 to {MAX_ID_BYTES} bytes")).cast("string")
+        key = F.when(key.isNull() | F.octet_length(key).between(1, MAX_ID_BYTES), key).otherwise(long)
+    rows = candidates.select(key.alias("id"), F.when(fits, v).otherwise(bad).alias("v")).select("id", metric_value(F.col("v"), t, metric).alias("metric"))
     return rows.orderBy(F.asc("metric") if metric == "euclidean" else F.desc("metric"), F.asc("id")).limit(limit)
 
 

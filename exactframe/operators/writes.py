@@ -19,7 +19,7 @@ class Insert:
     def batch_rows(self, n: int) -> Insert:
         """A hint; it changes nothing about the result."""
         if n <= 0:
-            raise ExactError("WRITE-BATCH-001", "insert batch size must be greater than zero")
+            raise ExactError("WRITE-BATCH-001", "a batch has at least one row")
         return replace(self, batch_rows_hint=n)
 
 
@@ -47,14 +47,14 @@ class Update:
 
     def __post_init__(self) -> None:
         if not self.assignments:
-            raise ExactError("WRITE-UPDATE-001", "update must assign at least one field")
+            raise ExactError("WRITE-UPDATE-001", "an update changes at least one field")
 
     def set(self, target: Expr, value: Any) -> Update:
         return replace(self, assignments=_assigned(self, target, value))
 
     def all(self) -> Update:
         if self.condition is not None:
-            raise ExactError("WRITE-SCOPE-001", "all-row acknowledgement cannot also carry a filter condition")
+            raise ExactError("WRITE-SCOPE-001", "all() and filter() exclude each other")
         return self
 
 
@@ -93,12 +93,12 @@ def delete(model: Model) -> UnscopedDelete:
 
 def _write_filter(e: Expr) -> Expr:
     if e.type.kind != "truth":
-        raise ExactError("MEMORY-WRITE-004", "write filter must be a truth value")
+        raise ExactError("MEMORY-WRITE-004", "a write's filter is a truth value")
     todo = [e]
     while todo:
         x = todo.pop()
         if x.op == "exists":
-            raise ExactError("MEMORY-WRITE-003", "write filters cannot contain pipeline existential or correlation dependencies")
+            raise ExactError("MEMORY-WRITE-003", "a write's filter looks at the row alone: no exists() in it")
         todo += x.args
     return e
 
@@ -109,13 +109,13 @@ def _assigned(w: Any, target: Expr, value: Any) -> tuple[tuple[str, Expr], ...]:
         raise ExactError("WRITE-UPDATE-003", f"an assignment's target must be a field of model {model.key}")
     key = target.data[1]
     if not model.has(key):
-        raise ExactError("WRITE-UPDATE-004", f"model does not define field {key}")
+        raise ExactError("WRITE-UPDATE-004", f"{model.key} has no field {key}")
     if any(k == key for k, _ in w.assignments):
-        raise ExactError("WRITE-UPDATE-002", f"field {key} is assigned more than once")
+        raise ExactError("WRITE-UPDATE-002", f"{key} is set twice")
     f = model.field(key)
     value = value if isinstance(value, Expr) else f_lit(value, f.type)
     if not (value.type.same(f.type) or (f.type.null and value.type.nullable().same(f.type))):
-        raise ExactError("WRITE-UPDATE-005", f"assignment type for field {key} does not match the model")
+        raise ExactError("WRITE-UPDATE-005", f"the value set for {key} is of another type")
     return (*w.assignments, (key, value))
 
 

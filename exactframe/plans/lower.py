@@ -70,10 +70,10 @@ def lower(e: Expr, ctx: Context) -> Lowered:
         try:
             return Lowered(literal(check(ctx.parameters[name], e.type), e.type))
         except ExactError as x:
-            raise ExactError("EXPR-EVAL-111", f"parameter {name} was bound with a different semantic type") from x
+            raise ExactError("EXPR-EVAL-111", f"the value given for {name} is not of its type") from x
     if e.op == "exists":
         if ctx.exists is None:
-            raise ExactError("EXPR-EVAL-112", "existential expressions require pipeline execution context")
+            raise ExactError("EXPR-EVAL-112", "exists() needs a pipeline around it")
         found = ctx.exists(e.data[0]).exists()
         return Lowered(~found if e.data[1] else found)
     args = [lower(a, ctx) for a in e.args]

@@ -36,11 +36,11 @@ class Aggregate:
         assert self.input is not None
         ty = self.input.type
         if self.kind == "sum" and not ty.has("exact"):
-            raise ExactError("PIPELINE-AGG-004", f"sum requires exact numeric semantics; type {ty.name} is not an exact numeric type")
+            raise ExactError("PIPELINE-AGG-004", f"{ty.name} cannot be summed exactly")
         if self.kind != "sum" and not (ty.has("ordering") and ty.has("keyable")):
-            raise ExactError("PIPELINE-AGG-005", f"{self.kind} requires stable ordering and key semantics; type {ty.name} does not provide both")
+            raise ExactError("PIPELINE-AGG-005", f"{self.kind} needs values with an order and an equality, which {ty.name} has not")
         if ty.null and not self.present:
-            raise ExactError("PIPELINE-AGG-006", f"{self.kind} received a nullable source; use {self.kind}_present to state null handling explicitly")
+            raise ExactError("PIPELINE-AGG-006", f"the input can be null: {self.kind}_present leaves nulls out")
         return self
 
 
@@ -158,7 +158,7 @@ class Pipeline:
     @staticmethod
     def from_model_as(model: Model, alias: str) -> Pipeline:
         if not (1 <= len(alias) <= 64 and alias.isascii() and alias.isidentifier()):
-            raise ExactError("PIPELINE-SCOPE-003", "pipeline source alias must contain between 1 and 64 ASCII characters")
+            raise ExactError("PIPELINE-SCOPE-003", "an alias is a name of 1 to 64 ASCII letters, digits and underscores")
         return Pipeline("source", (), (model, alias))
 
     def _then(self, op: str, *data: Any) -> Pipeline:
@@ -204,9 +204,9 @@ class Pipeline:
 
     def _join(self, other: Pipeline, kind: str, on: Expr | None) -> Pipeline:
         if kind == "cross" and on is not None:
-            raise ExactError("PIPELINE-PLAN-007", "cross join cannot carry a join condition")
+            raise ExactError("PIPELINE-PLAN-007", "a cross join pairs everything and has no condition")
         if kind != "cross" and (on is None or on.type.kind != "truth"):
-            raise ExactError("PIPELINE-PLAN-006", "conditional join is missing its truth-valued condition")
+            raise ExactError("PIPELINE-PLAN-006", "this join needs a condition that is a truth value")
         return Pipeline("join", (self, other), (kind, on))
 
     def join(self, other: Pipeline, on: Expr) -> Pipeline:
@@ -299,5 +299,5 @@ def aggregates(what: Any) -> Selected:
 def record(*pairs: tuple[str, Expr]) -> dict[str, Expr]:
     """A named record; a name given twice is an error."""
     if len({n for n, _ in pairs}) < len(pairs):
-        raise ExactError("PIPELINE-PROJECT-002", "record projection contains duplicate field names")
+        raise ExactError("PIPELINE-PROJECT-002", "a record names each of its fields once")
     return dict(pairs)

@@ -20,6 +20,8 @@ from .plans.lower import lower
 from .plans.pipeline import Pipeline
 
 Write = Insert | Update | Delete
+#: A write makes a plan on top of the last one's. After so many, the table is written to the checkpoint folder, if there is one.
+CUT_AFTER = 16
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,7 @@ class Limits:
 
     def __post_init__(self) -> None:
         if self.concurrency <= 0:
-            raise ExactError("ENGINE-LIMIT-003", "execution concurrency limit must be greater than zero")
+            raise ExactError("ENGINE-LIMIT-003", "at least one query must be allowed to run")
 
 
 @dataclass(frozen=True)
@@ -57,6 +59,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, limits: Limits = Limits(), cache: CachePolicy = CachePolicy()):
         self.spark, self.limits, self.cache = spark, limits, cache
+        self._writes = 0
         self.models: dict[str, Model] = {}
         self.tables: dict[str, DataFrame] = {}
         #: By exact key: the plan, its bytes, and the pipeline, which keeps alive what the key names by address.
@@ -66,14 +69,14 @@ class Engine:
     def register(self, model: Model) -> None:
         known = self.models.get(model.key)
         if known is not None and not known.same(model):
-            raise ExactError("MEMORY-STORE-002", f"model {model.key} is already registered with different semantics")
+            raise ExactError("MEMORY-STORE-002", f"another definition of {model.key} is registered here")
         if known is None:
             self.bind(model, self.spark.createDataFrame([], model.schema()))
 
     def load(self, model: Model, rows: list[dict[str, Any]]) -> None:
         """Rows by field key; they are checked against the model and its constraints."""
         if model.key in self.models:
-            raise ExactError("MEMORY-STORE-001", f"model {model.key} is already registered")
+            raise ExactError("MEMORY-STORE-001", f"{model.key} has a table here already")
         df = self._rows(model, rows)
         self._constraints(model, df)
         self.bind(model, df)
@@ -91,9 +94,9 @@ class Engine:
 
     def table(self, model: Model) -> DataFrame:
         if model.key not in self.models:
-            raise ExactError("MEMORY-STORE-003", f"model {model.key} is not registered")
+            raise ExactError("MEMORY-STORE-003", f"there is no table of {model.key}")
         if not self.models[model.key].same(model):
-            raise ExactError("MEMORY-STORE-004", "requested model differs from the registered model semantics")
+            raise ExactError("MEMORY-STORE-004", f"{model.key} is registered here with another definition")
         return self.tables[model.key]
 
     def clear(self) -> None:
@@ -129,12 +132,12 @@ class Engine:
         out, size, began = [], 0, time.monotonic()
         for r in df.limit(self.limits.rows + 1).toLocalIterator():
             if len(out) == self.limits.rows:
-                raise ExactError("ENGINE-LIMIT-004", "result exceeds the configured row limit")
+                raise ExactError("ENGINE-LIMIT-004", f"more than {self.limits.rows} rows would come to the driver")
             size += len(str(r))
             if size > self.limits.bytes:
-                raise ExactError("ENGINE-COLLECT-002", "stream exceeds the configured eager collection byte limit")
+                raise ExactError("ENGINE-COLLECT-002", f"more than {self.limits.bytes} bytes would come to the driver")
             if self.limits.timeout_seconds is not None and time.monotonic() - began > self.limits.timeout_seconds:
-                raise ExactError("ENGINE-LIMIT-006", "execution exceeded the configured timeout")
+                raise ExactError("ENGINE-LIMIT-006", f"collecting took longer than {self.limits.timeout_seconds} seconds")
             out.append(r)
         return out
 
@@ -174,7 +177,7 @@ class Engine:
         self._references(self.tables)
 
     def _constraints(self, model: Model, df: DataFrame) -> None:
-        for keys, code, what in [*([(model.identity, "DATASET-IDENTITY-001", "duplicate model identity")] if model.identity else []), *((u, "DATASET-UNIQUE-001", "duplicate unique field tuple") for u in model.uniques)]:
+        for keys, code, what in [*([(model.identity, "DATASET-IDENTITY-001", "two rows share an identity")] if model.identity else []), *((u, "DATASET-UNIQUE-001", "two rows share values that must be unique") for u in model.uniques)]:
             if repeated(df, [model.field(k).name for k in keys]).limit(1).take(1):
                 raise ExactError(code, f"{what} in model {model.key}")
 
@@ -183,7 +186,7 @@ class Engine:
             for r in m.references:
                 bad = unreferenced(m, self.models.get(r.target), tables, r)
                 if bad.limit(1).take(1):
-                    raise ExactError("MEMORY-REFERENCE-002", f"model {m.key} contains a reference with no matching {r.target} row")
+                    raise ExactError("MEMORY-REFERENCE-002", f"a row of {m.key} refers to a row of {r.target} that is not there")
 
     # --- writes --------------------------------------------------------------
     def apply(self, write: Write) -> None:
@@ -192,22 +195,25 @@ class Engine:
         changed = written(self.tables[model.key], write, self._rows)
         self._constraints(model, changed)
         self._references({**self.tables, model.key: changed})
+        self._writes += 1
+        if self._writes % CUT_AFTER == 0 and self.spark.sparkContext.getCheckpointDir():
+            changed = changed.checkpoint()
         self.tables[model.key] = changed
         self._plans.clear()
 
     def _written(self, write: Write) -> Model:
         if not isinstance(write, Write):
-            raise ExactError("WRITE-SCOPE-002", "scoped destructive operation is missing its filter condition")
+            raise ExactError("WRITE-SCOPE-002", "say which rows: filter(...) or all()")
         if write.model.key not in self.models:
-            raise ExactError("MEMORY-WRITE-001", f"model {write.model.key} is not registered")
+            raise ExactError("MEMORY-WRITE-001", f"there is no table of {write.model.key} to write to")
         if not self.models[write.model.key].same(write.model):
-            raise ExactError("MEMORY-WRITE-002", "write model differs from the registered model")
+            raise ExactError("MEMORY-WRITE-002", f"the table of {write.model.key} has another definition")
         return write.model
 
     def begin(self, isolation: str = "serializable", max_writes: int = 1024, max_rows: int | None = None, max_bytes: int | None = None) -> Transaction:
         """``max_rows`` and ``max_bytes`` bound the written tables, all together (bytes: of their rows as JSON); checking them reads these tables."""
         if isolation != "serializable":
-            raise ExactError("MEMORY-TX-001", "only serializable transactions are offered")
+            raise ExactError("MEMORY-TX-001", "transactions are serializable here, nothing weaker")
         return Transaction(self, max_writes, max_rows, max_bytes)
 
 
@@ -222,7 +228,7 @@ class Transaction:
 
     def apply(self, write: Write) -> None:
         if self.writes >= self.max_writes:
-            raise ExactError("MEMORY-TX-002", "transaction exceeds the configured successful-write limit")
+            raise ExactError("MEMORY-TX-002", f"a transaction makes at most {self.max_writes} writes")
         model = self.engine._written(write)
         changed = written(self.tables[model.key], write, self.engine._rows)
         self.engine._constraints(model, changed)
@@ -239,7 +245,7 @@ class Transaction:
 
     def commit(self) -> None:
         if any(self.engine.tables.get(k) is not v for k, v in self._base.items()):
-            raise ExactError("MEMORY-TX-005", "tables changed since the transaction began")
+            raise ExactError("MEMORY-TX-005", "someone else wrote since this transaction began")
         self.engine._references(self.tables)
         self.engine.tables.update(self.tables)
         self.engine._plans.clear()
@@ -264,7 +270,7 @@ def written(df: DataFrame, write: Write, rows: Any) -> DataFrame:
         f, got = model.field(key), lower(e, ctx)
         value = got.value
         if not f.type.null:
-            value = F.when(value.isNull(), F.raise_error(F.lit("RUNTIME-003: non-null value received null")).cast(f.type.spark())).otherwise(value)
+            value = F.when(value.isNull(), F.raise_error(F.lit("RUNTIME-003: null where no null may be")).cast(f.type.spark())).otherwise(value)
         changed[f.name] = F.when(hit, value).otherwise(F.col(f"`{f.name}`"))
         if f.optional:
             there = F.lit(True) if got.missing is None else ~got.missing
@@ -283,7 +289,7 @@ def repeated(df: DataFrame, names: list[str]) -> DataFrame:
 def unreferenced(model: Model, target: Model | None, tables: dict[str, DataFrame], ref: Any) -> DataFrame:
     """Rows whose reference, without nulls, has no row in the target."""
     if target is None:
-        raise ExactError("MEMORY-REFERENCE-001", f"reference target model {ref.target} is not registered")
+        raise ExactError("MEMORY-REFERENCE-001", f"the reference leads to {ref.target}, which has no table")
     a = tables[model.key].alias("a")
     b = tables[target.key].alias("b")
     pairs = [(model.field(s).name, target.field(t).name) for s, t in zip(ref.source_fields, ref.target_fields, strict=True)]

@@ -40,7 +40,7 @@ class JsonlLimits:
 
     def __post_init__(self) -> None:
         if min(self.source_bytes, self.line_bytes, self.rows, self.depth) <= 0:
-            raise ExactError("JSONL-LIMIT-000", "JSONL source, line, row, and nesting limits must all be greater than zero")
+            raise ExactError("JSONL-LIMIT-000", "every limit on a JSON Lines source must allow something")
 
 
 def _pairs(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
@@ -67,7 +67,7 @@ def _nanos(text: str) -> int:
 def _typed(v: Any, ty: Type, depth: int, most: int) -> Any:
     """A JSON value as a value of the type, in the written form that is exact for it."""
     if depth > most:
-        raise ExactError("JSONL-LIMIT-004", "JSONL line exceeds the configured nesting-depth limit")
+        raise ExactError("JSONL-LIMIT-004", "a line is nested deeper than allowed")
     if v is None:
         return None
     k, inner = ty.kind, depth + 1
@@ -75,7 +75,7 @@ def _typed(v: Any, ty: Type, depth: int, most: int) -> Any:
         return [_typed(x, ty.parts[0], inner, most) for x in _want(v, list)]
     if k == "tuple":
         if len(_want(v, list)) != len(ty.parts):
-            raise ExactError("JSONL-DECODE-006", f"JSONL line tuple width {len(v)} does not match semantic width {len(ty.parts)}")
+            raise ExactError("JSONL-DECODE-006", f"a tuple of {len(ty.parts)} has {len(v)} elements in the line")
         return tuple(_typed(x, p, inner, most) for x, p in zip(v, ty.parts, strict=True))
     if k == "record":
         known = dict(zip(ty.names, ty.parts, strict=True))
@@ -143,31 +143,31 @@ def _want(v: Any, kind: type) -> Any:
 def decode_line(line: str, model: Model, limits: JsonlLimits) -> tuple:
     """One line as a tuple for ``model.schema()``."""
     if len(line.encode("utf-8", "surrogatepass")) > limits.line_bytes:
-        raise ExactError("JSONL-LIMIT-002", "JSONL record exceeds the configured line-byte limit")
+        raise ExactError("JSONL-LIMIT-002", "a line is longer than allowed")
     if "\ufffd" in line:
-        raise ExactError("JSONL-DECODE-007", "JSONL line is not valid UTF-8")
+        raise ExactError("JSONL-DECODE-007", "a line holds bytes that are not UTF-8")
     try:
         got = json.loads(line, object_pairs_hook=_pairs, parse_constant=_constant)
     except (ValueError, RecursionError) as e:
         raise ExactError("JSONL-DECODE-001", f"invalid JSON: {e}") from e
     if not isinstance(got, dict):
-        raise ExactError("JSONL-DECODE-002", "JSONL line must contain one JSON object")
+        raise ExactError("JSONL-DECODE-002", "a line is one object, nothing else")
     names = {f.name: f for f in model.fields}
     values = {}
     for n, v in got.items():
         if n not in names:
-            raise ExactError("JSONL-DECODE-003", f"JSONL line contains unknown field {n} for model {model.key}")
+            raise ExactError("JSONL-DECODE-003", f"a line has a field {n}, which {model.key} has not")
         f = names[n]
         try:
             values[f.key] = _typed(v, f.type, 1, limits.depth)
         except ExactError:
             raise
         except (ValueError, KeyError, TypeError, ArithmeticError) as e:
-            raise ExactError("JSONL-DECODE-005", f"JSONL line contains an invalid typed value in {n}: {e}") from e
+            raise ExactError("JSONL-DECODE-005", f"the value of {n} is not of its type: {e}") from e
     try:
         return checked_row(model, values)
     except ExactError as e:
-        raise ExactError("JSONL-DECODE-004", f"JSONL line violates model semantics: {e}") from e
+        raise ExactError("JSONL-DECODE-004", f"the line is no row of the model: {e}") from e
 
 
 def decoder(model: Model, limits: JsonlLimits):
@@ -179,7 +179,7 @@ def decoder(model: Model, limits: JsonlLimits):
         for batch in batches:
             seen += batch.num_rows
             if seen > limits.rows:  # of one task, so that no count over all is needed
-                raise ExactError("JSONL-LIMIT-003", "JSONL execution exceeds the configured scanned-row limit")
+                raise ExactError("JSONL-LIMIT-003", "more rows were read than allowed")
             rows = [decode_line(x, model, limits) for x in batch.column(0).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(_arrow(c, f.type), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -203,34 +203,34 @@ class JsonlEngine:
         try:
             self.root = Path(root).resolve(strict=True)
         except OSError as e:
-            raise ExactError("JSONL-SOURCE-001", f"cannot resolve JSONL root directory: {e}") from e
+            raise ExactError("JSONL-SOURCE-001", f"the root folder cannot be found: {e}") from e
         self.files: dict[str, tuple[Model, Path]] = {}
 
     def bind(self, model: Model, path: str) -> None:
         if model.key in self.files:
-            raise ExactError("JSONL-SOURCE-004", f"model {model.key} already has a JSONL source")
+            raise ExactError("JSONL-SOURCE-004", f"{model.key} has a file already")
         self.files[model.key] = (model, self._inside(path))
 
     def _inside(self, path: str) -> Path:
         try:
             at = (self.root / path).resolve(strict=True)
         except OSError as e:
-            raise ExactError("JSONL-SOURCE-005", f"cannot resolve JSONL source: {e}") from e
+            raise ExactError("JSONL-SOURCE-005", f"the file cannot be found: {e}") from e
         if Path(path).is_absolute() or ".." in Path(path).parts or not at.is_relative_to(self.root):
-            raise ExactError("JSONL-SOURCE-002", "JSONL source resolves outside the configured root")
+            raise ExactError("JSONL-SOURCE-002", "the file lies outside the root folder")
         if not at.is_file():
-            raise ExactError("JSONL-SOURCE-003", "JSONL source must resolve to a regular file")
+            raise ExactError("JSONL-SOURCE-003", "this is not a plain file")
         return at
 
     def table(self, model: Model) -> DataFrame:
         if model.key not in self.files:
-            raise ExactError("JSONL-SOURCE-006", f"model {model.key} has no configured JSONL source")
+            raise ExactError("JSONL-SOURCE-006", f"{model.key} has no file")
         known, path = self.files[model.key]
         if not known.same(model):
-            raise ExactError("JSONL-SOURCE-007", "configured JSONL model semantics differ from the logical source")
+            raise ExactError("JSONL-SOURCE-007", f"the file of {model.key} was given with another definition")
         at = self._inside(str(path.relative_to(self.root)))
         if at.stat().st_size > self.limits.source_bytes:
-            raise ExactError("JSONL-LIMIT-001", "JSONL source exceeds the configured source-byte limit")
+            raise ExactError("JSONL-LIMIT-001", "the file is larger than allowed")
         return read_lines(self.spark, at.as_uri(), model, self.limits)
 
     def execute(self, pipeline: Pipeline, **parameters: Any) -> DataFrame:

@@ -123,23 +123,23 @@ class Type:
 
     def validate(self, depth: int = 0) -> Type:
         if depth > MAX_DEPTH:
-            raise ExactError("TYPE-001", "type nesting exceeds configured depth")
+            raise ExactError("TYPE-001", f"types are nested at most {MAX_DEPTH} deep")
         if self.version <= 0:
-            raise ExactError("TYPE-007", "semantic type version must be greater than zero")
+            raise ExactError("TYPE-007", "versions of types begin at 1")
         if self.key and not re.fullmatch(r"[^\s/]+(/[^\s/]+)+", self.key):
             raise ExactError("TYPE-013", "a type key has the form namespace/name without white space")
         if self.kind == "tuple" and len(self.parts) > MAX_WIDTH:
-            raise ExactError("TYPE-003", "tuple exceeds width limit")
+            raise ExactError("TYPE-003", f"a tuple has at most {MAX_WIDTH} elements")
         if self.kind == "record" and len(self.parts) > MAX_WIDTH:
-            raise ExactError("TYPE-004", "record exceeds width limit")
+            raise ExactError("TYPE-004", f"a record has at most {MAX_WIDTH} fields")
         if self.kind == "record" and any(not n for n in self.names):
-            raise ExactError("TYPE-005", "record field name must not be empty")
+            raise ExactError("TYPE-005", "every field of a record has a name")
         if self.kind == "record" and len(set(self.names)) < len(self.names):
-            raise ExactError("TYPE-006", "duplicate record field")
+            raise ExactError("TYPE-006", "a record names each of its fields once")
         if self.is_int and self.bits not in (8, 16, 32, 64, 128):
             raise ExactError("TYPE-008", "integer width must be 8, 16, 32, 64 or 128 bits")
         if self.kind == "map" and (self.parts[0].null or not self.parts[0].has("equality") or not self.parts[0].has("keyable")):
-            raise ExactError("TYPE-009", "map keys must be non-null, equality-capable, and keyable")
+            raise ExactError("TYPE-009", "map keys need an equality and cannot be null")
         for p in self.parts:
             p.validate(depth + 1)
         if depth == 0 and self.nodes() > MAX_NODES:
@@ -193,7 +193,7 @@ def consistent(types: list[Type]) -> None:
 
     def walk(t: Type) -> None:
         if t.key and not seen.setdefault((t.key, t.version), t.bare().non_null()).same(t.non_null()):
-            raise ExactError("TYPE-101", f"semantic type {t.key}@{t.version} has conflicting definitions")
+            raise ExactError("TYPE-101", f"two types go by {t.key} version {t.version}")
         for p in t.parts:
             walk(p)
 

@@ -27,22 +27,22 @@ def check(value: Any, ty: Type, presence: Presence = "required") -> Any:
     """``value`` if it conforms, with numbers as Spark takes them."""
     if value is MISSING:
         if presence != "optional":
-            raise ExactError("RUNTIME-002", "required value is missing")
+            raise ExactError("RUNTIME-002", "a value that must be there is missing")
         return value
     if value is None:
         if not ty.null:
-            raise ExactError("RUNTIME-003", "non-null value received null")
+            raise ExactError("RUNTIME-003", "null where no null may be")
         return None
     return _conform(value, ty)
 
 
 def _no(ty: Type) -> ExactError:
-    return ExactError("RUNTIME-004", f"value does not conform to type {ty.name}")
+    return ExactError("RUNTIME-004", f"not a value of {ty.name}")
 
 
 def _inner(value: Any, ty: Type) -> Any:
     if value is MISSING:
-        raise ExactError("RUNTIME-006", "missing is only valid for named fields of records and models")
+        raise ExactError("RUNTIME-006", "only a named field can be missing")
     return check(value, ty)
 
 
@@ -107,7 +107,7 @@ def _conform(v: Any, ty: Type) -> Any:
         out: dict[Any, Any] = {}
         for key, x in pairs:
             if key in out:
-                raise ExactError("RUNTIME-007", "map value contains a duplicate key")
+                raise ExactError("RUNTIME-007", "a map has each key once")
             out[_inner(key, ty.parts[0])] = _inner(x, ty.parts[1])
         return out
     if k == "tuple":
@@ -118,7 +118,7 @@ def _conform(v: Any, ty: Type) -> Any:
         raise _no(ty)
     for n in ty.names:
         if n not in v:
-            raise ExactError("RUNTIME-005", f"record value missing field {n}")
+            raise ExactError("RUNTIME-005", f"the record lacks {n}")
     if len(v) != len(ty.names):
         raise _no(ty)
     return tuple(_inner(v[n], p) for n, p in zip(ty.names, ty.parts, strict=True))

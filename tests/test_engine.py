@@ -486,3 +486,14 @@ def test_transaction_bounds(spark):
     assert len(e.rows(PARENT)) == 3
     with pytest.raises(ExactError, match="MEMORY-TX-004"):
         e.begin(max_bytes=10).apply(insert(PARENT, {"id": 5}))
+
+
+def test_many_writes_cut_the_plan(spark, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    monkeypatch.setattr("exactframe.session.CUT_AFTER", 3)
+    e = Engine(spark)
+    e.load(PARENT, [{"id": 0}])
+    for k in range(1, 7):
+        e.apply(insert(PARENT, {"id": k}))
+    assert sorted(r.id for r in e.rows(PARENT)) == list(range(7))
+    assert e.table(PARENT)._jdf.queryExecution().analyzed().toString().count("Union") == 0

@@ -301,6 +301,9 @@ def test_features_and_vectors(spark):
         exact_search(df, "id", "v", [1.0], "cosine", 1).collect()
     with pytest.raises(Exception, match="ML-VECTOR-003"):
         exact_search(df, "id", "v", [0.0, 0.0], "cosine", 1).collect()
+    for bad in ("", "x" * 1025):
+        with pytest.raises(Exception, match="ML-VECTOR-005"):
+            exact_search(spark.createDataFrame([(bad, [1.0])], "id string, v array<float>"), "id", "v", [1.0], "euclidean", 1).collect()
     code(approximate_search, "ML-CAPABILITY-001")
 
 

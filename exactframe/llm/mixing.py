@@ -1,20 +1,22 @@
 """Operator 6, mixing sources to target weights, by Spark expressions only.
 
-The words of every source lie in one line, cut into blocks of fixed length. Output shards of fixed size draw from a
-multinomial how many of their slots each source gets; a source's slots are numbered through all shards; each run of
-as many slots as the source has blocks is one pass over it, in the order of a pseudorandom permutation of that pass;
-slots and blocks are joined by index.
-
-The draws are residual: a shard gives every source the whole part of its expected count, and only what is left over
-is drawn, so totals stay within a few slots of their targets. No pass after ``max_passes`` is made, so no word is
+The words of every source lie in one line, cut into blocks of fixed length. All slots of the output together hold each
+source as often as its target says; a pseudorandom permutation deals them out, so that a shard of fixed size gets
+multinomial counts of the sources, given that the totals are right (a multivariate hypergeometric draw). A source's slots
+are numbered; each run of as many slots as the source has blocks is one pass over it, in the order of a pseudorandom
+permutation of that pass; slots and blocks are joined by index. No pass after ``max_passes`` is made, so no word is
 taken more often. Everything follows from a seed and the rows, so reruns and lost tasks agree.
 
+Counts drawn for each shard by itself would add up to the targets only on average, and stray far from them on small
+inputs; the permutation draws them all at once.
+
 Defined results: null and empty texts have size 0 and take no part; a null source is a source of its own, the last;
 null ids are values like others; repeated rows are separate rows, and as they have equal ids and texts it is not
 defined which of them gets which of their places; an empty table, or one without words, gives nothing taken; only the
 named columns are read, and the output has names of its own.
 
-The table of sources (one row each, with the weights that the caller configures) goes into every shard's row.
+Windows without a partition run over the table of sources alone, one row each; everything else is dealt by source and
+number, in runs of ``shard_slots``, so a source of any size is spread over tasks.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, n_words, stored, unused, words
+from .common import WORD, let, n_words, stored, unused, words
 
 ROUNDS = 24
 
@@ -123,40 +125,26 @@ def mix_sources(
 
 
 def _slots(sources: DataFrame, shard_slots: int, max_passes: int, seed: int) -> DataFrame:
+    """Every slot of the output: the source's slots lie one after another in a line, which is then permuted as a whole."""
     spark = sources.sparkSession
-    total = int(round(sources.agg(F.coalesce(F.sum("expected"), F.lit(0.0))).first()[0]))
-    shards = -(-total // shard_slots)
-    whole = F.sum("expected").over(Window.partitionBy())
-    spec = sources.filter("expected > 0").select(F.struct("source_key", (F.col("expected") / whole).alias("p"), "n_blocks").alias("s")).agg(F.array_sort(F.collect_list("s")).alias("spec"))
-    size = F.least(F.lit(shard_slots), total - F.col("id") * shard_slots)
-    each = spark.range(shards).select(F.col("id").alias("shard"), size.alias("m"), spec.scalar().alias("spec"))
-    each = each.withColumn("base", F.transform("spec", lambda s: F.floor(s["p"] * F.col("m"))))
-    each = each.withColumn("rest", F.zip_with("spec", "base", lambda s, b: s["p"] * F.col("m") - b))
-    each = each.withColumn("left", (F.col("m") - F.aggregate("base", F.lit(0).cast("long"), lambda a, x: a + x)).cast("int"))
-    level = F.aggregate("rest", F.lit(0.0), lambda a, x: a + x)
-    ladder = F.aggregate("rest", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
-    ladder = F.when(F.size("rest") > 0, ladder)
-    each = each.withColumn("ladder", ladder).withColumn("level", level)
-
-    def drawn(r: Column) -> Column:
-        u = uniform(F.lit(seed), F.col("shard"), r) * F.col("level")
-        return F.least(F.size(F.filter("ladder", lambda x: x <= u)), F.size("rest") - 1)
-
-    draws = F.when(F.col("left") > 0, F.transform(F.sequence(F.lit(1), F.col("left")), drawn)).otherwise(F.array().cast("array<int>"))
-    each = each.withColumn("draws", draws)
-    count = lambda b, i: b + F.size(F.filter("draws", lambda d: d == i))
-    each = each.withColumn("n", F.transform("base", count))
-    per = each.select("shard", F.explode(F.zip_with("spec", "n", lambda s, n: F.struct(s["source_key"].alias("source_key"), s["n_blocks"].alias("n_blocks"), n.alias("n")))).alias("x")).select("shard", "x.*")
-    before = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("n > 0")
-    # one source can have most slots, so they are made after spreading its shards
-    per = per.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_key")
-    slots = per.select("shard", "source_key", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    # whole counts that differ from what is expected by less than one, in the line and in total
+    line = Window.orderBy("source_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sources.withColumn("end", F.round(F.sum("expected").over(line)).cast("long")).withColumn("begin", F.coalesce(F.lag("end").over(Window.orderBy("source_key")), F.lit(0)))
+    placed = stored(placed.select("source_key", "n_blocks", "begin", "end").filter("end > begin"), "line")
+    total = int(placed.agg(F.coalesce(F.max("end"), F.lit(0))).first()[0])
+    # one source can have most slots, so they are made in runs, spread over tasks
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end") - F.col("begin") - 1) / shard_slots))).alias("run")
+    runs = placed.select("*", run).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_key", "run")
+    first = F.col("run") * shard_slots
+    last = F.least(F.col("end") - F.col("begin"), first + shard_slots) - 1
+    slots = runs.select("source_key", "n_blocks", "begin", F.explode(F.sequence(first, last)).alias("slot"))
     slots = slots.filter(F.col("slot") < max_passes * F.col("n_blocks"))
     turn = F.floor(F.col("slot") / F.col("n_blocks"))
     block = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("source_key"), turn)
+    place = permuted(F.col("begin") + F.col("slot"), F.lit(max(total, 1)).cast("long"), F.lit(seed), F.lit("line"), F.lit(0).cast("long"))
     # not null for the planner too, or a join would compute it a second time to test it
-    return slots.select("shard", "slot", "source_key", turn.alias("pass"), F.coalesce(block, F.lit(-1).cast("long")).alias("block"))
+    known = lambda c: F.coalesce(c, F.lit(-1).cast("long"))
+    return slots.select(F.floor(known(place) / shard_slots).alias("shard"), "slot", "source_key", turn.alias("pass"), known(block).alias("block"))
 
 
 def taken_words(mix: Mix) -> DataFrame:
@@ -180,7 +168,8 @@ def mixed_texts(mix: Mix, docs: DataFrame, doc_id: str = "doc_id", text: str = "
     got = got.join(keyed, ["source_key", "start"]).select(x + "key", x + "copy", x + "id", x + "of", x + "spans", (F.col("n") == F.col("size")).alias(x + "all"))
     # repeated rows are told apart by number; that, and the id in full, is compared where the key has brought rows
     # together, so the texts move once
-    full = docs.withColumn(x + "hash", F.xxhash64(text)).withColumn(x + "key", key(F.col(doc_id), F.col(x + "hash"))).withColumn(x + "number", copies(x + "hash"))
+    # rows without words are never taken: they would be one group of equal rows
+    full = docs.filter(F.rlike(text, F.lit(WORD))).withColumn(x + "hash", F.xxhash64(text)).withColumn(x + "key", key(F.col(doc_id), F.col(x + "hash"))).withColumn(x + "number", copies(x + "hash"))
     same = F.coalesce(F.col(x + "id") == F.col(doc_id), F.col(x + "id").isNull() & F.col(doc_id).isNull())
     one = (F.col(x + "copy") <= F.col(x + "number")) & (F.col(x + "copy") >= F.col(x + "number"))
     out = got.hint("merge").join(full.hint("merge"), x + "key").filter(same & one)

@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, unused
+from .common import ascii_lower, let, stored, unused
 from .graph import components
 
 
@@ -45,7 +45,19 @@ def path_of(url: Column) -> Column:
 def node_of(url: Column) -> Column:
     """What two addresses of one page have in common: all but the scheme, the case of the host, and the fragment. Null without a host."""
     rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))))
+    whole = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(F.contains(whole, F.lit("/.")), undotted(whole)).otherwise(whole)))
+
+
+def undotted(rest: Column) -> Column:
+    """A path, and the query after it, without steps such as ``.`` and ``..``."""
+    path, query = F.regexp_extract(rest, r"(?s)^([^?]*)", 1), F.regexp_extract(rest, r"(?s)^[^?]*(.*)$", 1)
+    none = F.array().cast("array<string>")
+    back = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", back(done)).otherwise(F.concat(done, F.array(s)))
+    done = F.aggregate(F.slice(F.split(path, "/"), 2, 1 << 30), none, step)
+    tail = F.when(F.rlike(path, F.lit(r"/\.{1,2}$")) & (F.size(done) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(done, "/"), tail, query)
 
 
 def matched(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -76,6 +88,11 @@ def declared_links(html: Column) -> Column:
     return F.when(F.rlike(html, F.lit("(?i)canonical|http-equiv")), F.filter(found, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
+def declared_base(html: Column) -> Column:
+    """The address that a page's links start from, as written; empty where none is given."""
+    return F.replace(_attribute(F.regexp_extract(html, r"(?is)<base\s[^>]*+>", 0), "href"), F.lit("&amp;"), F.lit("&"))
+
+
 def absolute(link: Column, url: Column) -> Column:
     """``link`` as an absolute address; ``url``: that of its page."""
     scheme = F.regexp_extract(url, r"^([^:/?#]*)://", 1)
@@ -97,8 +114,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html:
     address, x = F.col(url), unused(pages)
     edges = []
     if html:
-        links = pages.filter(F.rlike(html, F.lit("(?i)canonical|http-equiv"))).select(address.alias("from_url"), F.explode(declared_links(F.col(html))).alias("link"))
-        edges.append(links.select("from_url", absolute(F.col("link"), F.col("from_url")).alias("to_url")))
+        linking = pages.filter(F.rlike(html, F.lit("(?i)canonical|http-equiv")))
+        links = linking.select(address.alias("from_url"), declared_base(F.col(html)).alias("base"), F.explode(declared_links(F.col(html))).alias("link"))
+        base = F.when(F.col("base") == "", F.col("from_url")).otherwise(absolute(F.col("base"), F.col("from_url")))
+        edges.append(links.select("from_url", absolute(F.col("link"), base).alias("to_url")))
     if redirects is not None:
         edges.append(redirects.select("from_url", "to_url"))
     judged = pages.withColumn(out, F.struct(host_of(address).alias("host"), path_of(address).alias("path"), node_of(address).alias("node")))
@@ -111,8 +130,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html:
         both = both.unionByName(e)
     # an address seen only as a link's end is judged by its rules too, and can block its aliases
     ends = both.select("from_url", "to_url", node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")).filter("a is not null and b is not null")
+    ends = stored(ends, "links")  # the pages are gone through once
     group = components(ends, "a", "b")
-    seen = ends.select(F.explode(F.array("from_url", "to_url")).alias("u")).distinct()
+    plain = lambda c: F.concat(F.lit("x://"), F.col(c))  # noqa: E731 - as written, and without dots in the path
+    seen = ends.select(F.explode(F.array("from_url", "to_url", plain("a"), plain("b"))).alias("u")).distinct()
     seen = seen.select(node_of(F.col("u")).alias("id"), matched(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v"))
     blocked = group.join(seen.filter("v = 'block'").select("id"), "id", "left_semi").select("component").distinct().withColumn("blocked", F.lit(True))
     alias = group.join(blocked, "component", "left").select(F.col("id").alias(x + "alias"), F.col("component").alias(x + "component"), F.col("blocked").alias(x + "blocked"))

@@ -228,6 +228,18 @@ def test_html_templates_inside_articles(spark):
 RULES = (urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"), urls.Rule("block", "net", "/es/"))
 
 
+def test_links_start_from_the_base(spark):
+    rows = [
+        ("http://h.org/a/b/c", "<base href='http://example.com/en/'><link rel=canonical href='x'>"), ("http://i.org/a/b", "<link rel=canonical href='http://example.com/fr/../en/./y'>"),
+        ("http://j.org/a/", "<base href='/k/'><link rel=canonical href='../m'>"), ("http://j.org/m", "<link rel=canonical href='http://example.com/en/z'>"), ("http://k.org/../../x", ""),
+    ]
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = {r.url: r.url_filter.verdict for r in urls.filter_urls(df, RULES).collect()}
+    assert [got[u] for u, _ in rows] == ["block"] * 4 + ["allow"]
+    nodes = [r[0] for r in spark.createDataFrame([("http://A.b/x/../y/?q=/../z",), ("http://a.b/../c/..",), ("http://a.b/x/.",), ("http://a.b",)], "u string").select(urls.node_of(F.col("u"))).collect()]
+    assert nodes == ["a.b/y/?q=/../z", "a.b/", "a.b/x/", "a.b/"]
+
+
 def test_urls(spark):
     rows = [
         (1, "http://Example.com/en/x?q", ""), (2, "http://www.example.com/en/", ""), (3, "https://x.org/a", '<link rel="canonical" href="http://example.com/en/x">'),
@@ -442,6 +454,20 @@ def test_mixing(spark):
     out = mixing.mixed_texts(mix, df)
     assert out.columns == df.columns
     assert sum(len(words(r.text)) for r in out.collect()) == sum(r.taken for r in got)
+    # shards are full but for the last, every slot is there once, and a shard's counts are drawn, not shares
+    small = mixing.mix_sources(df, block_words=8, shard_slots=64)
+    per = collections.defaultdict(collections.Counter)
+    for r in small.slots.collect():
+        per[r.shard][r.source_key] += 1
+    sizes = [sum(per[k].values()) for k in sorted(per)]
+    assert sorted(per) == list(range(len(per))) and set(sizes[:-1]) == {64} and 0 < sizes[-1] <= 64
+    whole = sum(per.values(), collections.Counter())
+    n = len(sizes) - 1
+    for key, total in whole.items():
+        share = total / sum(whole.values())
+        if 64 * share > 4:
+            spread = np.var([per[k][key] for k in range(n)])
+            assert 0.4 < spread / (64 * share * (1 - share)) < 2, key
     empty = mixing.mix_sources(df.limit(0))
     assert mixing.taken_words(empty).count() == 0
     assert [r.taken for r in mixing.taken_words(mixing.mix_sources(df.filter("text is null"))).collect()] == [0] * df.filter("text is null").count()

@@ -1,7 +1,12 @@
 """Operator 10, quality rules: line-first cleaning, by Spark expressions only.
 
-Every line is judged alone: by its punctuation, as navigation, as boilerplate. Lines that fail are removed; a
-document that loses too much of its text, or that fails the rules on whole texts, is rejected.
+Every line is judged: by its punctuation and capitals, as navigation, as boilerplate. What decides in any language is
+the line's form: symbols, separators, one word over and over, capitals, and runs of short lines that no mark ends, as
+menus have; the English phrases and menu words below add to that. Lines that fail are removed; a document that loses too
+much of its text, or that fails the rules on whole texts, is rejected.
+
+Lines are not counted across documents: copies and near copies, which a later stage thins out to one, would all lose
+their lines and go together.
 
 Defined results: a null or empty text has no words, so it fails ``base_failed``; null in other columns is passed
 through; repeated rows give repeated results; an empty table gives an empty table. The operator keeps the caller's
@@ -15,11 +20,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, words
+from .common import BLANKS, let, n_words, words
 
 WINDOW = 8
 SYMBOL = "[#*$%&|<>]"
 MARK = "[|»›•·]"
+#: How a line ends that is no menu item.
+ENDED = "[.!?:;…。！？।؟][^\\p{L}\\p{N}]*$"
+CAPITALS = r"\p{Lu}\p{Lu}"
 #: Phrases that mark a line as boilerplate, where the line is short.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "terms and conditions",
@@ -48,6 +56,11 @@ class Rules:
     #: A navigation line: separators such as | or » between items, at least so many of them and at most so many words an item.
     nav_marks: int = 2
     nav_words: int = 3
+    #: A line of so many words, with two capitals side by side, fails if more than this percent of its letters are capitals.
+    capital_words: int = 4
+    max_capitals_percent: int = 60
+    #: Three and more lines on end fail of at most so many words each, none of which ends in a mark.
+    run_words: int = 3
     #: A document that keeps less than this percent of its characters in words is rejected.
     min_kept_percent: int = 50
 
@@ -96,6 +109,23 @@ def repeat_words(ws: Column) -> Column:
     return F.when(F.size(ws) > WINDOW, let(hashed(ws), eights)).otherwise(0).cast("long")
 
 
+def _left(text: Column, kinds: str) -> Column:
+    """How many characters are of these kinds."""
+    return F.length(F.regexp_replace(text, rf"[^{kinds}]+", ""))
+
+
+def _in_runs(lines: Column, rules: Rules) -> Column:
+    """For each line whether it is one of three or more short lines on end."""
+
+    def runs(short: Column) -> Column:
+        at = lambda k: F.coalesce(F.get(short, k), F.lit(False))
+        three = lambda i: (at(i - 1) & (at(i - 2) | at(i + 1))) | (at(i + 1) & at(i + 2))
+        return F.when(F.exists(short, lambda s: s), F.transform(short, lambda s, i: s & three(i))).otherwise(short)
+
+    few = lambda x: (F.length(x) <= 200) & (n_words(x) <= rules.run_words) & F.rlike(x, F.lit(r"\p{L}")) & ~F.rlike(x, F.lit(ENDED))
+    return let(F.transform(lines, few), runs)
+
+
 def _bad_line(line: Column, suspect: Column, rules: Rules) -> Column:
     """Whether a line with words fails: no letters, marks instead of letters, navigation, boilerplate, or one word over and over.
 
@@ -123,6 +153,7 @@ def _bad_line(line: Column, suspect: Column, rules: Rules) -> Column:
         return (
             F.when(~F.rlike(low, F.lit(r"\p{L}")), True)
             .when((F.length(low) <= 60) & item.isin(*NAVIGATION), True)
+            .when(F.rlike(line, F.lit(CAPITALS)) & (n_words(line) >= rules.capital_words) & (_left(line, r"\p{Lu}") * 100 > _left(line, r"\p{Lu}\p{Ll}") * rules.max_capitals_percent), True)
             .when(suspect | F.rlike(low, F.lit(MARK)) | phrase, let(words(line), apart(low, phrase)))
             .otherwise(False)
         )
@@ -143,7 +174,7 @@ def verdict(text: Column, rules: Rules = Rules()) -> Column:
         def both(lines: Column) -> Column:
             full = F.filter(lines, lambda x: ~blank(x))
             twice = let(full, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-            clean = F.filter(lines, lambda x: blank(x) | ~_bad_line(x, suspect, rules))
+            clean = let(_in_runs(lines, rules), lambda runs: F.filter(lines, lambda x, i: blank(x) | ~(F.get(runs, i) | _bad_line(x, suspect, rules))))
             return F.struct(twice.alias("twice"), let(clean, lambda c: F.struct(F.array_join(c, "\n").alias("text"), (F.size(c) < F.size(lines)).alias("less"))).alias("clean"))
 
         return both

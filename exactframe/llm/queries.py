@@ -114,21 +114,26 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_minhash": op1_minhash, "op2_html": op2_html, "op3_urls": op3_urls, "op4_langid": op4_langid, "op4_langid_pages": op4_langid_pages, "op5_vectors": op5_vectors, "op6_mix": op6_mix, "op7_pack": op7_pack, "op7_pack_chats": op7_pack_chats, "op8_chat": op8_chat, "op9_lm": op9_lm, "op10_quality": op10_quality}
 def _quality_sql() -> str:
-    from .quality import BOILERPLATE, MARK, NAVIGATION, SYMBOL
+    from .quality import BOILERPLATE, CAPITALS, ENDED, MARK, NAVIGATION, SYMBOL
 
     gone = lambda what: f"(length(low) - length(regexp_replace(low, '{what}', '', 'g')))"
     phrases = " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
     nav = ", ".join(f"'{n}'" for n in NAVIGATION)
+    of = lambda kinds: f"length(regexp_replace(line, '[^{kinds}]', '', 'g'))"
     split = lambda x: f"list_filter(regexp_split_to_array({x}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, {split("text")} AS w FROM d),
 i AS (SELECT doc_id, unnest(generate_series(1, len(w) - 7)) AS i, w FROM w WHERE len(w) >= 8),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS n FROM i),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (SELECT unnest(generate_series(0, 7)) AS k) WHERE n > 1 GROUP BY doc_id),
-l AS (SELECT doc_id, line, lower(line) AS low, {split("line")} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+p AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d),
+z AS (SELECT doc_id, line, k, lower(line) AS low, {split("line")} AS w FROM (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS k FROM p)),
+y AS (SELECT *, length(line) <= 200 AND len(w) <= 3 AND regexp_matches(line, '\\p{{L}}') AND NOT regexp_matches(line, '{ENDED}') AS few FROM z),
+l AS (SELECT * EXCLUDE few, few AND ((lag(few, 1, false) OVER o AND (lag(few, 2, false) OVER o OR lead(few, 1, false) OVER o)) OR (lead(few, 1, false) OVER o AND lead(few, 2, false) OVER o)) AS run
+FROM y WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
 f AS (SELECT *, len(w) AS few, {gone(SYMBOL)} AS symbols, {gone(MARK)} AS marks, length(array_to_string(w, '')) AS chars,
 len(list_filter(generate_series(1, len(w) - 1), lambda k: w[k] = w[k + 1])) AS same FROM l WHERE len(w) > 0),
-b AS (SELECT *, NOT regexp_matches(low, '\\p{{L}}') OR (length(low) <= 60 AND regexp_replace(low, '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g') IN ({nav}))
+b AS (SELECT *, run OR (regexp_matches(line, '{CAPITALS}') AND few >= 4 AND {of("\\p{Lu}")} * 100 > {of("\\p{Lu}\\p{Ll}")} * 60) OR NOT regexp_matches(low, '\\p{{L}}') OR (length(low) <= 60 AND regexp_replace(low, '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g') IN ({nav}))
 OR (symbols > 2 AND symbols >= few) OR (marks >= 2 AND few <= (marks + 1) * 4) OR (few <= 25 AND ({phrases})) OR same * 100 > few * 30 AS bad FROM f),
 k AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN bad THEN 0 ELSE chars END) AS left_chars FROM b GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '{SYMBOL}', '', 'g')) AS n_symbols,

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -33,19 +34,39 @@ def bad_line(line):
     marks, symbols = len(re.findall("[|»›•·]", low)), len(re.findall(r"[#*$%&|<>]", low))
     item = re.sub(rf"^(?:(?!{LETTER}).)+|(?:(?!{LETTER}).)+$", "", low)
     same = sum(a == b for a, b in zip(w, w[1:], strict=False))
+    up, cased = sum(unicodedata.category(c) == "Lu" for c in line), sum(unicodedata.category(c) in ("Lu", "Ll") for c in line)
+    two = any(unicodedata.category(a) == unicodedata.category(b) == "Lu" for a, b in zip(line, line[1:], strict=False))
     return (
-        not re.search(LETTER, low) or (len(low) <= 60 and item in NAVIGATION) or (symbols > 2 and symbols >= n) or (marks >= 2 and n <= (marks + 1) * 4)
+        not re.search(LETTER, low) or (two and n >= 4 and up * 100 > cased * 60) or (len(low) <= 60 and item in NAVIGATION) or (symbols > 2 and symbols >= n) or (marks >= 2 and n <= (marks + 1) * 4)
         or (n <= 25 and any(p in low for p in BOILERPLATE)) or same * 100 > n * 30
     )
 
 
+def clean_lines(text):
+    lines = text.split("\n")
+    few = [0 < len(words(x)) <= 3 and len(x) <= 200 and bool(re.search(LETTER, x)) and not re.search(r"[.!?:;…。！？।؟][\W_]*$", x) for x in lines]
+    run = [any(all(0 <= j < len(few) and few[j] for j in range(k, k + 3)) for k in range(i - 2, i + 1)) for i in range(len(lines))]
+    return "\n".join(x for x, r in zip(lines, run, strict=True) if not words(x) or not (r or bad_line(x)))
+
+
+def test_line_rules(spark):
+    from exactframe.llm.quality import judge
+
+    menu = "Startseite\nÜber uns\nKontakt\nImpressum"
+    body = "Ein langer Satz mit vielen Wörtern steht hier, damit genug Text bleibt.\nUnd noch ein Satz, der auch bleiben soll."
+    ts = [f"{menu}\n{body}", f"{body}\nEins\nZwei\n\nDrei", f"{body}\nJETZT KAUFEN UND VIEL GELD SPAREN\nDie NATO und die EU tagen.", f"Eins.\nZwei!\nDrei\n{body}", "а б\nв\nг"]
+    got = [r.q.clean_text for r in judge(spark.createDataFrame(list(enumerate(ts)), "k int, text string"), out="q").orderBy("k").collect()]
+    assert got == [body, ts[1], f"{body}\nDie NATO und die EU tagen.", ts[3], ""]
+    assert got == [clean_lines(t) for t in ts]
+
+
 def test_quality_stage(stages):
     want = {}
     for r in stages[0]:
         w = words(r.text)
         seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
         cover = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
-        clean = "\n".join(x for x in (r.text or "").split("\n") if not words(x) or not bad_line(x))
+        clean = clean_lines(r.text or "")
         count = lambda t: len(b"".join(words(t)).decode())
         if len(w) >= 20 and 100 * len(cover) <= 30 * len(w) and count(clean) * 100 >= count(r.text) * 50:
             want[r.doc_id] = clean

@@ -12,9 +12,20 @@ from exactframe.llm.mixing import mix_sources, mixed_texts
 from exactframe.llm.packing import pack_documents
 from exactframe.llm.quality import passed
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 DOC = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def modest(spark: SparkSession) -> None:
+    """Texts go to Python 2,000 rows at a time, as many as packing looks at, where the session does not say otherwise.
+
+    Workers of several stages live on beside the JVM of one executor, and Spark's 10,000 rows of whole texts are held there
+    several times over: in the JVM's buffers, in Arrow and as Python values.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, 2000)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others keep the lines that passed.
 
@@ -32,6 +43,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The trigram model is fitted on the rows that declare a language; without any, no language is known and all go. A null
     language or source is a value like others; a null or empty text goes; repeated rows get the same language.
     """
+    modest(spark)
     done = identify(docs, host="source", out="_l").filter("_l.kept")
     return done.withColumn("lang", F.col("_l.lang")).select(*DOC)
 
@@ -42,6 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id are one document: of those that differ the least stays, by text, then by the other columns (null
     first). Rows without an id belong to no group and all stay, as do documents with a null or empty text.
     """
+    modest(spark)
     kept = near_duplicates(docs, percent=80).filter("kept").select("doc_id").distinct()
     row = F.struct("text", "lang", "source", "n_chars")
     told = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*").select(*DOC)
@@ -65,6 +78,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
+    modest(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

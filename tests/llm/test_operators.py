@@ -349,6 +349,50 @@ def test_langid_pages_query(spark):
     assert np.mean([r.lang == r.declared for r in got]) > 0.9
 
 
+def test_posterior_by_hand(spark):
+    """All evidence multiplied out in numpy: text, declared language, suffix, and host priors smoothed towards domain and all rows."""
+    rng = random.Random(8)
+    vocabulary = {"en": ["the", "house", "with", "water"], "de": ["das", "haus", "mit", "wasser"], "fr": ["la", "maison", "avec", "eau"]}
+    rows = []
+    for k in range(150):
+        lang = rng.choice(list(vocabulary))
+        text = " ".join(rng.choice(vocabulary[lang] + ["taxi", "hotel"]) for _ in range(rng.choice((1, 2, 6))))
+        host = rng.choice(("a", "b.c")) + rng.choice((".example.com", ".beispiel.de", ".exemple.fr", ""))
+        rows.append((k, text if k % 20 else None, lang, rng.choice((lang, lang, "xx-YY", "english", None)), host if k % 17 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, said string, host string")
+    got = {r.doc_id: r.language for r in langid.identify(df, declared="said", host="host").collect()}
+    names, log = langid.fit(df, "lang", "text", "doc_id")
+    log, n = log.astype(np.float32), len(names) + 1
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def keys(said, host):
+        m = re.match(r"\s*([a-z]{2,3})(?:[-_].*)?\s*$", (said or "").lower())
+        h = host or ""
+        top = re.match(r"([a-z]{2,3})$", h.rpartition(".")[2]) if "." in h else None
+        return m[1] if m else "?", top[1] if top else "?", ".".join(h.split(".")[-2:]), h
+
+    ll, sums = {}, [collections.defaultdict(lambda: np.zeros(n)) for _ in range(4)]
+    for k, text, _, said, host in rows:
+        if text:
+            at = langid.bins(text)
+            total = log[at].sum(0, dtype=float)
+            ll[k] = (total - total.max()) * min(1.0, 200 / len(at))
+            for table_, key in zip(sums, keys(said, host), strict=True):
+                table_[key] += soft(ll[k])
+    whole = sum(sums[0].values())
+    share = (whole + 1) / (whole.sum() + n)
+    for k, text, _, said, host in rows:
+        if not text:
+            assert got[k].kept is False and got[k].confidence is None
+            continue
+        d, t, g, h = keys(said, host)
+        up = (sums[2][g] + 20 * share) / (sums[2][g].sum() + 20)
+        own = np.maximum(sums[3][h] - soft(ll[k]), 0)
+        prior = (own + 20 * up) / (own.sum() + 20)
+        post = soft(np.log(prior) + np.log((sums[0][d] + 0.5) / (whole + 1)) + np.log((sums[1][t] + 0.5) / (whole + 1)) + ll[k])
+        assert got[k].confidence == pytest.approx(post.max(), abs=1e-4) and got[k].lang == [*names, "und"][post.argmax()]
+
+
 # --- 5 ---
 def exact_links(v):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)

@@ -14,6 +14,8 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries in the caches of words and of runs; a full cache is emptied.
 WORDS, RUNS = 250_000, 350_000
@@ -48,14 +50,24 @@ class WordTokenizer:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         # lower case comes first anyway; control strings are told by case
-        cut = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts]
+        low = pa.array([t if b"<|" in t else t.translate(_LOWER) for t in texts], pa.binary())
+        cut = pc.ascii_split_whitespace(low.view(pa.string()))
+        # a word is looked up once for all its places in these texts
+        coded = cut.flatten().view(pa.binary()).dictionary_encode()
+        found = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), b"\n")[0].as_py().split(b"\n")
         if len(self.words) > WORDS:
             self.words.clear()
-        new = set().union(*cut).difference(self.words)
+        have = list(map(self.words.get, found))
+        new = [w for w, x in zip(found, have, strict=False) if x is None and w]
         if new:
-            self._learn(list(new))
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
+            self._learn(new)
+            have = [x if x is not None else self.words.get(w, b"") for w, x in zip(found, have, strict=True)]
+        else:
+            have = [x or b"" for x in have]
+        each = pa.array(have, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(each.buffers()[1], np.int64, len(each) + 1, 8 * each.offset)[cut.offsets.to_numpy()].tolist()
+        data = memoryview(each.buffers()[2] or b"")
+        return [bytes(data[lo:hi]) for lo, hi in zip(ends, ends[1:], strict=False)]
 
     def _learn(self, new: list[bytes]) -> None:
         if len(self.runs) > RUNS:

@@ -528,6 +528,25 @@ def test_tokenizer_is_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == e.ids, t[:40]
 
 
+def test_a_word_is_looked_up_once_for_all_its_places():
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, k):
+            Counted.n += 1
+            return super().__getitem__(k)
+
+        def get(self, *k):
+            Counted.n += 1
+            return super().get(*k)
+
+    w = tokens.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    w.words = Counted()
+    ts = ["", " many words " * 1000, "  ", "words\nagain"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in w.ids([t.encode() for t in ts])] == [e.ids for e in w.whole.encode_batch(ts, add_special_tokens=False)]
+    assert Counted.n < 20 and w.ids([]) == [] and w.ids([b""]) == [b""]
+
+
 def test_packing(spark):
     ts = [*(t if t is None else t[:20_000] for t in texts(120)), "many words " * 30_000, "unbroken" * 10_000]
     path = public_tokenizers.path("word_bpe_49k.json")

@@ -12,18 +12,20 @@ from exactframe.llm.mixing import mix_sources, mixed_texts
 from exactframe.llm.packing import pack_documents
 from exactframe.llm.quality import passed
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 DOC = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def modest(spark: SparkSession) -> None:
-    """Texts go to Python 2,000 rows at a time, as many as packing looks at, where the session does not say otherwise.
+    """Texts go to Python 2,000 rows or 2 MB at a time, where the session does not say otherwise.
 
     Workers of several stages live on beside the JVM of one executor, and Spark's 10,000 rows of whole texts are held there
     several times over: in the JVM's buffers, in Arrow and as Python values.
     """
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, 2000)
+    if spark.conf.get(BYTES) == "67108864b":
+        spark.conf.set(BYTES, 2 << 20)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .blocks import forest, paired_blocks, runs
 from .common import stored
 from .graph import components
-from .shingles import grouped, mix, shingle_sets, tidy
+from .shingles import HASHED, grouped, mix, shingle_sets, tidy
 
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
@@ -82,7 +82,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
         at = 0
-        for group in grouped(x.as_py() for x in texts):
+        for group in grouped((x.as_py() for x in texts), HASHED):
             sets = shingle_sets(group)
             sums = [(int(mix(s).sum(dtype=np.uint64)) ^ len(s), int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64))) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -102,7 +102,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
         at = 0
-        for group in grouped(x.as_py() for x in texts):
+        for group in grouped((x.as_py() for x in texts), HASHED):
             sets = [s.view(np.int64) for s in shingle_sets(group)]
             ends = np.cumsum([0, *map(len, sets)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))

@@ -154,6 +154,21 @@ class Packer:
             yield out
 
 
+def _rowsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ROWS rows at a time, however many a batch has."""
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            held.append(batch.slice(0, ROWS - n))
+            n += held[-1].num_rows
+            batch = batch.slice(held[-1].num_rows)
+            if n == ROWS:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _packed(path: str, end: int, limits: Limits, cut: bool):
     mark = np.array([end], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "loss"]
@@ -180,7 +195,7 @@ def _packed(path: str, end: int, limits: Limits, cut: bool):
             kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
-        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+        for batch in _rowsets(batches):
             first = count
             docs = batch.column(0).to_pylist()
             if pa.types.is_string(batch.schema.field(1).type):

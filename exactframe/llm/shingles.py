@@ -8,8 +8,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text hashed at a time; a longer text is a group of its own.
-GROUP = 1 << 20
+#: Bytes of text worked on at a time; a longer text is a group of its own. Hashing takes some 40 bytes for each of them.
+GROUP, HASHED = 1 << 20, 1 << 18
 
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -82,12 +82,12 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def grouped(texts: Iterable[bytes | None]) -> Iterator[list[bytes]]:
-    """Texts in groups of about GROUP bytes; null counts as empty."""
+def grouped(texts: Iterable[bytes | None], most: int = GROUP) -> Iterator[list[bytes]]:
+    """Texts in groups of about ``most`` bytes; null counts as empty."""
     group, size = [], 0
     for t in texts:
         t = t or b""
-        if group and size + len(t) > GROUP:
+        if group and size + len(t) > most:
             yield group
             group, size = [], 0
         group.append(t)

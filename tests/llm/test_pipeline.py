@@ -2,14 +2,17 @@
 
 import collections
 import re
+import tracemalloc
 import unicodedata
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 import public_tokenizers
-from exactframe.llm import common
+from exactframe.llm import common, minhash, packing
 from exactframe.llm.quality import BOILERPLATE, NAVIGATION
 
 SF = "/root/testdata/sf0.001"
@@ -193,3 +196,35 @@ def test_run_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert len([x for x in tmp_path.iterdir() if x.name.startswith("exactframe-")]) == 1
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    was = {k: spark.conf.get(k) for k in (corpus_pipeline.BATCH, corpus_pipeline.BYTES)}
+    try:
+        for k in was:
+            spark.conf.unset(k)
+        corpus_pipeline.modest(spark)
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+        got = [r.n for r in spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 10000) as text").mapInArrow(sizes, "n long").collect()]
+        assert sum(got) >= 20_000_000 and max(got) < 3_000_000
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_packing_does_not_depend_on_batches(monkeypatch):
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    rng = np.random.default_rng(6)
+    texts = [" ".join(["word"] * int(n)) for n in rng.integers(0, 300, 4500)]
+    table = pa.table({"doc_id": range(4500), "text": texts})
+    pack = lambda n: pa.Table.from_batches(packing._packed(public_tokenizers.path("word_bpe_49k.json"), 1, packing.Limits(), True)(iter(table.to_batches(max_chunksize=n))))
+    assert pack(300).to_pylist() == pack(5000).to_pylist()
+
+
+def test_sketches_take_little_memory():
+    table = pa.table({"doc_id": range(1500), "text": [" ".join(f"w{k * 7 + j}" for j in range(500)) for k in range(1500)]})
+    tracemalloc.start()
+    assert sum(b.num_rows for b in minhash._sketch(iter(table.to_batches(max_chunksize=500)))) == 1500
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 << 20

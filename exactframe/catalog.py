@@ -162,10 +162,11 @@ def arith_checked():
     )
 
 
+# SQL's zero has no sign here, division's has one: adding 0 makes -0 positive and leaves all else
 @query("SELECT l_orderkey, l_linenumber, CAST(l_discount * 2 + 1 - l_discount AS DOUBLE) AS x, CASE WHEN l_discount = 0 THEN 'Infinity'::DOUBLE ELSE 1 / l_discount END AS y FROM lineitem", L)
 def float_arithmetic():
     d = L["l_discount"]
-    return src(L).select({"l_orderkey": L["l_orderkey"], "l_linenumber": L["l_linenumber"], "x": d * 2.0 + 1.0 - d, "y": lit(1.0, t.F64) / d})
+    return src(L).select({"l_orderkey": L["l_orderkey"], "l_linenumber": L["l_linenumber"], "x": d * 2.0 + 1.0 - d, "y": lit(1.0, t.F64) / (d + 0.0)})
 
 
 @query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) * CAST(1.10 AS DECIMAL(3,2)) AS gross FROM orders", O)

@@ -34,6 +34,18 @@ def test_agrees_with_sql(spark, name):
     assert sorted(tuple(map(plain, r)) for r in df.collect()) == sorted(tuple(plain(r[k]) for k in at) for r in want.fetchall())
 
 
+def test_float_arithmetic_on_odd_discounts(spark, tmp_path):
+    """A negative zero divides to Infinity, as the SQL has it."""
+    odd = ["-0.0", "0.0", "nan", "inf", "-inf", "5e-324", "-5e-324", "1e308", "-1e308", "1e16", "0.07", "-0.05"]
+    rows = ", ".join(f"({k}, '{v}'::DOUBLE)" for k, v in enumerate(odd)) + f", ({len(odd)}, NULL)"
+    c = duckdb.connect()
+    c.sql(f"CREATE TABLE lineitem AS SELECT l.* REPLACE (k::BIGINT AS l_orderkey, v AS l_discount) FROM (SELECT * FROM '{SF}/lineitem.parquet' LIMIT 1) l, (VALUES {rows}) o(k, v)")
+    c.sql(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    have = sorted(tuple(map(plain, r)) for r in catalog.QUERIES["float_arithmetic"](spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "x", "y").collect())
+    assert have == sorted(tuple(map(plain, r)) for r in c.sql(catalog.SQL["float_arithmetic"]).fetchall())
+    assert [r[2:] for r in have if r[0] == "0"] == [("1.0", "inf")]
+
+
 @pytest.mark.parametrize("name", ["row_number", "rank", "dense_rank", "window_sum_all", "window_sum_running", "window_sum_around"])
 def test_windows_over_all_orders(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
